@@ -93,8 +93,9 @@ def _usage_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    events = _usage_events(spark, folder)
-    found = sessions.sessionise(events.select("batch_id", F.col("sessionId").alias("session_id"), "project", "time_ms", "gap_ms"), ["session_id", "project"], "batch_id").read()
+    events = _usage_events(spark, folder).select("batch_id", F.col("sessionId").alias("session_id"), "project", "time_ms", "gap_ms")
+    batches = table(spark, folder, "claude_usage").agg(F.min("batch_id"), F.max("batch_id")).first()
+    found = sessions.sessionise(events, ["session_id", "project"], "batch_id", bounds=tuple(batches)).read()
     return found.select("session_id", "project", "start_ms", "end_ms", "event_count")
 
 
