@@ -55,15 +55,27 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?\z"
 _PAIR = r"^\[ *([0-9]{1,18}) *, *([0-9]{1,9}) *\]\z"
 
 
+#: Pattern, and which of its groups hold year, month and day, of each calendar format.
+CALENDAR = {
+    "ymd": (_YMD, (1, 3, 4)), "dmy": (_NUMERIC, (4, 3, 1)), "mdy": (_NUMERIC, (4, 1, 3)), "month_first": (_MONTH_FIRST, (3, 1, 2)), "day_first": (_DAY_FIRST, (3, 2, 1)),
+}
+_SEP = "\x1f"
+
+
 def _integer(text: Column) -> Column:
     return F.nullif(text, F.lit("")).cast("int")
 
 
-def _clock(t: Column, pattern: str, year: int, month: int, day: int) -> dict[str, Column]:
+def _groups(t: Column, pattern: str) -> Column:
+    """All eleven groups of a calendar pattern as one array, null where it doesn't match: one look at the text."""
+    return F.when(t.rlike(pattern), F.split(F.regexp_replace(t, pattern, _SEP.join(f"${i}" for i in range(1, 12))), _SEP))
+
+
+def _clock(groups: Column, year: int, month: int, day: int) -> dict[str, Column]:
     """Pieces of a calendar text: wall (microseconds as if UTC, null if no real date), offset, zone."""
-    group = lambda i: F.regexp_extract(t, pattern, i)
+    group = lambda i: groups[i - 1]
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
-    number = lambda i: F.coalesce(_integer(F.when(group(i).rlike("^[0-9]+$"), group(i))), F.try_element_at(months, F.lower(group(i))))
+    number = lambda i: F.coalesce(group(i).try_cast("int"), F.try_element_at(months, F.lower(group(i))))
     half = F.upper(group(9))
     hour, minute, second = _integer(group(5)), _integer(group(6)), F.coalesce(_integer(group(7)), F.lit(0))
     in_half = hour.between(1, 12)
@@ -74,12 +86,12 @@ def _clock(t: Column, pattern: str, year: int, month: int, day: int) -> dict[str
     wall = F.unix_micros(date) + (hour24 * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micros
     mark = group(10)
     digits = F.regexp_replace(mark, ":", "")
-    shift = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
+    shift = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
     signed = mark.rlike(r"^[+-]")
     known = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
-    offset = F.when(signed, F.when((F.substring(digits, 4, 2).cast("int") < 60) & (shift <= 18 * 60), F.when(mark.startswith("-"), -shift).otherwise(shift)))
+    offset = F.when(signed, F.when((F.substring(digits, 4, 2).try_cast("int") < 60) & (shift <= 18 * 60), F.when(mark.startswith("-"), -shift).otherwise(shift)))
     offset = offset.otherwise(F.try_element_at(known, F.upper(mark)))
-    matched = t.rlike(pattern) & ((mark == "") | offset.isNotNull())
+    matched = groups.isNotNull() & ((mark == "") | offset.isNotNull())
     return {"wall": F.when(matched & real, wall), "offset": offset, "zone": F.nullif(group(11), F.lit(""))}
 
 
@@ -91,10 +103,8 @@ def _parses(t: Column) -> Column:
         value = F.struct(F.lit(name).alias("format"), utc.cast("bigint").alias("utc"), wall.cast("bigint").alias("wall"), zone.cast("string").alias("zone"))
         entries.append(F.when(utc.isNotNull() | wall.isNotNull(), value))
 
-    for name, pattern, place in (
-        ("ymd", _YMD, (1, 3, 4)), ("dmy", _NUMERIC, (4, 3, 1)), ("mdy", _NUMERIC, (4, 1, 3)), ("month_first", _MONTH_FIRST, (3, 1, 2)), ("day_first", _DAY_FIRST, (3, 2, 1)),
-    ):
-        c = _clock(t, pattern, *place)
+    for name, (_, place) in CALENDAR.items():
+        c = _clock(F.col(f"_{name}"), *place)
         fixed = c["offset"].isNotNull()
         entry(name, F.when(fixed, c["wall"] - c["offset"].cast("bigint") * 60_000_000), F.when(~fixed, c["wall"]), c["zone"])
     none = F.lit(None)
@@ -164,7 +174,8 @@ def interpret(df: DataFrame, record_id: Column, source: Column, text: Column, zo
     """(record_id, source, host_zone, signature, parses) of all readings; signature names the formats that hold."""
     known = F.when(zone.rlike(r"^(UTC|GMT|[A-Z][A-Za-z_]+(/[A-Za-z0-9_+\-]+)+)\z"), zone)
     base = df.select(record_id.cast("bigint").alias("record_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.trim(text).alias("_t"), known.alias("host_zone"))
-    parsed = base.select("record_id", "source", "host_zone", _parses(F.col("_t")).alias("parses"))
+    looked = base.select("*", *[_groups(F.col("_t"), pattern).alias(f"_{name}") for name, (pattern, _) in CALENDAR.items()])
+    parsed = looked.select("record_id", "source", "host_zone", _parses(F.col("_t")).alias("parses"))
     return parsed.withColumn("signature", F.array_join(F.transform("parses", lambda e: e["format"]), "|"))
 
 
