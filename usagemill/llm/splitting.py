@@ -15,7 +15,9 @@ Defined results
     a text of at most max_tokens    no piece; it isn't oversized
     null or empty text              no piece
     equal rows, null ids            each row is split for itself
-    a text without any boundary     pieces end at landmarks, or at the maximum size
+    no boundary from the minimum to the maximum size
+                                    the last one below the minimum; without any,
+                                    the piece ends at its landmark
     empty input                     an empty table
 """
 
@@ -34,7 +36,7 @@ PIECES = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, overlap
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("overlap", pa.int64()), ("ends_at", pa.string()), ("piece_text", pa.string())])
 WINDOW = 16
 SPACING = 256
-_NATURAL = regex.compile(rb"\n[ \t]*\n\s*|(\n+[ \t]*)|((?:[.!?]+[\"')\]]*|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[ \t]*)|([ \t]+)")
+_NATURAL = regex.compile(rb"\n[ \t]*\n\s*|(\n+[ \t]*)|((?:[.!?]+[\"')\]]*(?=\s|$)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[ \t]*)|([ \t]+)")
 LEVELS = ("none", "space", "sentence", "line", "paragraph")
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
@@ -85,7 +87,7 @@ def cut_points(t: ByteTokenizer, raw: bytes, ids: np.ndarray, ends: np.ndarray,
             return out
         low, high = min(fresh + min_tokens, start + max_tokens - 1), min(n - 1, start + max_tokens)
         while True:
-            stop = _stop(level, marks, max(fresh + 1, low), high, overlap)
+            stop = _stop(level, marks, max(fresh + 1, low), high, overlap, fresh + 1)
             over = t.count(raw[at[start] : at[stop]].decode("utf-8", "replace")) - max_tokens
             if over <= 0 or stop <= fresh + 1:
                 break
@@ -99,8 +101,12 @@ def cut_points(t: ByteTokenizer, raw: bytes, ids: np.ndarray, ends: np.ndarray,
             start = fresh
 
 
-def _stop(level: np.ndarray, marks: np.ndarray, low: int, high: int, overlap: int) -> int:
-    """The cut within low..high: the first landmark, moved to the nearest natural boundary."""
+def _stop(level: np.ndarray, marks: np.ndarray, low: int, high: int, overlap: int, least: int) -> int:
+    """The cut within low..high: the first landmark, moved to the nearest natural boundary.
+
+    Where low..high has none, the last one from least on is taken, below the
+    minimum size; only where there's none at all does the landmark itself stand.
+    """
     i = np.searchsorted(marks, low)
     mark = int(marks[i]) if i < len(marks) and marks[i] <= high else high
     span = np.arange(low, high + 1)
@@ -108,6 +114,10 @@ def _stop(level: np.ndarray, marks: np.ndarray, low: int, high: int, overlap: in
     begin = span - overlap
     aligned = whole & ((begin < 0) | (level[np.maximum(begin, 0)] >= 0))
     for wanted in (2, 1, 0):
+        if wanted == 0:
+            early = np.flatnonzero(level[least:low] >= 1)
+            if len(early):
+                return int(least + early[-1])
         for usable in (aligned, whole):
             fit = span[usable & (level[low : high + 1] >= wanted)]
             if len(fit):
