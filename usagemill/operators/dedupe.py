@@ -67,7 +67,7 @@ def across_files(df: DataFrame, key: list[str], source: str, order: str) -> Data
     """Copies of events in other files go, repeats within one file stay.
 
     The n-th occurrence of an event in any file is one event; its first file
-    wins. Response ids, where there are any, are keys of their own.
+    wins.
     """
     from usagemill.operators.ordered import occurrence
 
