@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from usagemill.llm.splitting import boundaries, landmarks, split_texts
+from usagemill.llm.splitting import Text, boundaries, landmarks, split_texts
 
 
 def run(spark, rows, max_tokens=100, overlap=10, **kw):
@@ -80,12 +80,23 @@ def test_landmarks_depend_on_the_text_near_them():
 
 
 def test_levels(tok):
-    text = "One. Two\nthree\n\nfour"
-    ends = tok.ends(text)
-    level = boundaries(text.encode(), ends)
-    at = [0, *ends]
-    named = {text.encode()[: at[i]].decode(): level[i] for i in range(len(at))}
+    text = "One. Two\nthree\n\nfour 3.5。x"
+    x = Text(tok, text)
+    level = boundaries(x)
+    named = {text.encode()[:a].decode("utf-8", "ignore"): v for a, v in zip(x.at, level)}
     assert named["One."] == 2 and named["One. Two\n"] == 3 and named["One. Two\nthree\n\n"] == 4
+    assert named["One. Two\nthree\n\nfour"] == 1 and named["One. Two\nthree\n\nfour 3"] == 0 and named["One. Two\nthree\n\nfour 3.5。"] == 2
+
+
+def test_a_piece_alone_is_counted_from_its_edges(tok):
+    rng = np.random.default_rng(4)
+    parts = ["word", " ", "  ", "\n", "\n\n", "don't", "日本", "\u3000", "\u00a0", "a.b", "12 34", "🙂", "'s", "\t", "e\u0301", "x" * 40]
+    for _ in range(60):
+        x = Text(tok, "".join(rng.choice(parts, 60)))
+        for _ in range(20):
+            a, b = sorted(rng.integers(0, len(x.at), 2))
+            if a < b and (a == 0 or x.data[x.at[a]] & 0xC0 != 0x80) and (x.at[b] == len(x.data) or x.data[x.at[b]] & 0xC0 != 0x80):
+                assert x.alone(a, b) == tok.count(x.piece(a, b))
 
 
 def test_found_against_brute_force(spark, data, tok):

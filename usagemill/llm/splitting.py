@@ -7,8 +7,8 @@ maximum sizes: the end of a paragraph, line or sentence, else a space, else
 the landmark itself. An edit moves the landmarks around it, and the pieces
 further away come out as before. Consecutive pieces share overlap tokens.
 
-Sizes count tokens of the whole text; a piece's own text is encoded again, and
-its end is moved back until it fits on its own too. Cuts never fall inside a
+Sizes count tokens of the whole text; a piece must also fit when its own text
+is encoded, so its edges are encoded again and its end moved back if need be. Cuts never fall inside a
 character. It is a pass over the texts without any shuffle.
 
 Defined results
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 
 from usagemill.llm.tokens import DEFAULT_VOCABULARY, ByteTokenizer, tokenizer
@@ -36,7 +35,6 @@ PIECES = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, overlap
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("overlap", pa.int64()), ("ends_at", pa.string()), ("piece_text", pa.string())])
 WINDOW = 16
 SPACING = 256
-_NATURAL = regex.compile(rb"\n[ \t]*\n\s*|(\n+[ \t]*)|((?:[.!?]+[\"')\]]*(?=\s|$)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[ \t]*)|([ \t]+)")
 LEVELS = ("none", "space", "sentence", "line", "paragraph")
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
@@ -56,39 +54,89 @@ def landmarks(ids: np.ndarray, spacing: int = SPACING) -> np.ndarray:
     return np.flatnonzero((rolled >> np.uint64(33)) % np.uint64(spacing) == 0) + WINDOW
 
 
-def boundaries(raw: bytes, ends: np.ndarray) -> np.ndarray:
-    """Level of a cut at each token position 0..n: 0 none up to 4 paragraph; -1 inside a character."""
-    n = len(ends)
-    level = np.zeros(n + 1, dtype=np.int8)
-    at = np.concatenate([[0], ends])
-    data = np.frombuffer(raw + b"\0", dtype=np.uint8)
-    level[(data[at] & 0xC0) == 0x80] = -1
-    for m in _NATURAL.finditer(raw):
-        tier = 3 if m.group(1) is not None else 2 if m.group(2) is not None else 1 if m.group(3) is not None else 4
-        # A token often begins with the space before its word, so a cut anywhere in the run of white space counts.
-        lo = m.start() if tier in (1, 3, 4) else m.start() + len(m.group(0).rstrip(b" \t"))
-        i, j = np.searchsorted(at, lo), np.searchsorted(at, m.end(), "right")
-        part = level[i:j]
-        part[(part >= 0) & (part < tier)] = tier
-    level[n] = 4
-    return level
-
-
-def cut_points(t: ByteTokenizer, raw: bytes, ids: np.ndarray, ends: np.ndarray, max_tokens: int, min_tokens: int, overlap: int) -> list[tuple[int, int, int]]:
+class Text:
+    """One text's bytes, tokens and white space, for cutting it at tokens."""
+
+    def __init__(self, t: ByteTokenizer, text: str) -> None:
+        self.t, self.raw, self.ids = t, text.encode(), t.ids(text)
+        self.at = np.concatenate([[0], np.cumsum(t.width[self.ids])])
+        data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.data, self.space = data, (data == 32) | ((data >= 9) & (data <= 13))
+        #: Where white space follows anything else: no token reaches across, whatever stands before or after.
+        self.joints = np.flatnonzero(self.space[1:] & ~self.space[:-1]) + 1
+
+    def piece(self, a: int, b: int) -> str:
+        return self.raw[self.at[a] : self.at[b]].decode("utf-8", "replace")
+
+    def _joint(self, lo: int, hi: int, last: bool) -> int | None:
+        """The first or last joint in lo..hi whose character before is no white space of another script."""
+        i, j = np.searchsorted(self.joints, [lo + 1, hi])
+        for k in range(j - 1, i - 1, -1) if last else range(i, j):
+            q = int(self.joints[k])
+            if not self.raw[max(0, q - 4) : q].decode("utf-8", "ignore")[-1:].isspace():
+                return q
+        return None
+
+    def alone(self, a: int, b: int) -> int:
+        """Tokens of the piece a..b encoded on its own.
+
+        Only its head and tail can come out differently from the whole text:
+        up to the first joint, and from the last one on.
+        """
+        lo, hi = int(self.at[a]), int(self.at[b])
+        first, last = self._joint(lo, hi, False), self._joint(lo, hi, True)
+        if first is None or last is None:
+            return self.t.count(self.piece(a, b))
+        middle = int(np.searchsorted(self.at, last) - np.searchsorted(self.at, first))
+        return self.t.count(self.raw[lo:first].decode("utf-8", "replace")) + middle + self.t.count(self.raw[last:hi].decode("utf-8", "replace"))
+
+
+def boundaries(x: Text) -> np.ndarray:
+    """Level of a cut at each token position 0..n: 0 none up to 4 paragraph; -1 inside a character.
+
+    A token often begins with the space before its word, so a cut anywhere in
+    or beside a run of white space counts for that run: with two line breaks it
+    ends a paragraph, with one a line, behind a full stop a sentence.
+    """
+    size = len(x.data)
+    starts = np.flatnonzero(x.space & ~np.concatenate([[False], x.space[:-1]]))
+    run = np.cumsum(np.concatenate([[0], (x.space & ~np.concatenate([[False], x.space[:-1]])).astype(np.int64)])[1:]) - 1
+    breaks = np.bincount(run[x.data == 10], minlength=len(starts)) if len(starts) else np.zeros(0, dtype=np.int64)
+    level = np.ones(len(starts), dtype=np.int8)
+    stop = np.isin(x.data, np.frombuffer(b".!?", dtype=np.uint8))
+    quote = np.isin(x.data, np.frombuffer(b"\"')]", dtype=np.uint8))
+    one, two = np.maximum(starts - 1, 0), np.maximum(starts - 2, 0)
+    level[(starts > 0) & (stop[one] | (quote[one] & stop[two]))] = 2
+    level[breaks == 1] = 3
+    level[breaks > 1] = 4
+    out = np.zeros(len(x.at), dtype=np.int8)
+    here, before = np.minimum(x.at, size - 1), np.maximum(x.at - 1, 0)
+    at_space = (x.at < size) & x.space[here]
+    after_space = (x.at > 0) & x.space[before]
+    out[after_space] = level[run[before[after_space]]]
+    out[at_space] = level[run[here[at_space]]]
+    pad = np.concatenate([np.zeros(3, dtype=np.uint8), x.data])
+    b3, b2, b1 = pad[x.at], pad[x.at + 1], pad[x.at + 2]
+    wide = ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x82)) | ((b3 == 0xEF) & (b2 == 0xBC) & ((b1 == 0x81) | (b1 == 0x9F)))
+    out[wide & (out < 2)] = 2
+    out[(x.at < size) & ((x.data[here] & 0xC0) == 0x80)] = -1
+    out[-1] = 4
+    return out
+
+
+def cut_points(x: Text, max_tokens: int, min_tokens: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, stop, level) in tokens of each piece."""
-    n = len(ends)
-    at = np.concatenate([[0], ends])
-    level = boundaries(raw, ends)
-    marks = landmarks(ids)
+    n = len(x.ids)
+    level, marks = boundaries(x), landmarks(x.ids)
     out, start, fresh = [], 0, 0
     while True:
-        if n - start <= max_tokens and t.count(raw[at[start] :].decode("utf-8", "replace")) <= max_tokens:
+        if n - start <= max_tokens and x.alone(start, n) <= max_tokens:
             out.append((start, n, 4))
             return out
         low, high = min(fresh + min_tokens, start + max_tokens - 1), min(n - 1, start + max_tokens)
         while True:
             stop = _stop(level, marks, max(fresh + 1, low), high, overlap, fresh + 1)
-            over = t.count(raw[at[start] : at[stop]].decode("utf-8", "replace")) - max_tokens
+            over = x.alone(start, stop) - max_tokens
             if over <= 0 or stop <= fresh + 1:
                 break
             high = max(fresh + 1, stop - over)
@@ -134,16 +182,12 @@ def _splitter(max_tokens: int, overlap: int, min_tokens: int, path: str, with_te
                 # A token spans at least one byte, so a text of at most max_tokens bytes can't be oversized.
                 if not value.is_valid or len(value.as_buffer()) <= max_tokens:
                     continue
-                text = value.as_py()
-                ids = np.asarray(t.core.encode_ordinary(text), dtype=np.int64)
-                if len(ids) <= max_tokens:
+                x = Text(t, value.as_py())
+                if len(x.ids) <= max_tokens:
                     continue
-                raw, ends = text.encode(), np.cumsum(t.width[ids])
-                at = np.concatenate([[0], ends])
                 stop_before = 0
-                for k, (a, b, tier) in enumerate(cut_points(t, raw, ids, ends, max_tokens, min_tokens, overlap)):
-                    piece = raw[at[a] : at[b]].decode("utf-8", "replace") if with_text else None
-                    rows.append((doc_id, k, a, b - a, max(0, stop_before - a), LEVELS[tier], piece))
+                for k, (a, b, tier) in enumerate(cut_points(x, max_tokens, min_tokens, overlap)):
+                    rows.append((doc_id, k, a, b - a, max(0, stop_before - a), LEVELS[tier], x.piece(a, b) if with_text else None))
                     stop_before = b
             columns = list(zip(*rows)) if rows else [[] for _ in _SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)

@@ -31,6 +31,9 @@ class ByteTokenizer:
         for piece, rank in ranks.items():
             self.width[rank] = len(piece)
 
+    def ids(self, text: str) -> np.ndarray:
+        return self.core.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
     def count(self, text: str | None) -> int:
         return len(self.core.encode_ordinary(text)) if text else 0
 
@@ -38,7 +41,7 @@ class ByteTokenizer:
         """The byte offset (in UTF-8) at which each token of text ends."""
         if not text:
             return np.zeros(0, dtype=np.int64)
-        return np.cumsum(self.width[np.asarray(self.core.encode_ordinary(text), dtype=np.int64)])
+        return np.cumsum(self.width[self.ids(text)])
 
 
 def tokenizer(path: str = DEFAULT_VOCABULARY) -> ByteTokenizer:
