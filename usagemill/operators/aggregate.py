@@ -73,7 +73,9 @@ def unified(usage: DataFrame, unit: str = "day", start: str = "monday", cost: st
 
 def totals(report: DataFrame) -> DataFrame:
     """Grand totals over report rows, after their filters."""
-    return report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*TOKENS, "total_tokens")], F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total_cost"))
+    found = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*TOKENS, "total_tokens")]
+    credits = [F.sum("credits").alias("credits")] if "credits" in report.columns else []
+    return report.agg(*found, F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total_cost"), *credits)
 
 
 def unpriced(usage: DataFrame, missing: str) -> DataFrame:

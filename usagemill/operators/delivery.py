@@ -136,20 +136,27 @@ class SeenMessages:
         schema = "producer string, scope string"
         return self.spark.read.schema(schema).parquet(f"{self.path}/{self.version}/lookup") if self.version else self.spark.createDataFrame([], schema)
 
-    def accept(self, rows: DataFrame) -> DataFrame:
-        """The rows of this batch that carry an uncovered message, one each; then count them as seen."""
+    def uncovered(self, rows: DataFrame) -> DataFrame:
+        """The rows of this batch that carry an uncovered message, one each (the least order value)."""
         first = rows.groupBy("producer", "number", "scope").agg(F.min("order_id").alias("order_id"))
         by_number, by_key = first.filter(F.col("number").isNotNull()), first.filter(F.col("number").isNull())
         seen = self.ranges().withColumn("_b", F.explode(F.sequence(_block_of("lo"), _block_of("hi"))))
         n, s = by_number.withColumn("_b", _block_of("number")).alias("n"), seen.alias("s")
         covered = (F.col("n.producer") == F.col("s.producer")) & (F.col("n.scope") == F.col("s.scope")) & (F.col("n._b") == F.col("s._b")) & F.col("n.number").between(F.col("s.lo"), F.col("s.hi"))
-        fresh = n.join(s, covered, "left_anti").drop("_b").unionByName(by_key.join(self.lookup(), ["producer", "scope"], "left_anti").select(first.columns))
-        fresh = cut(fresh, "accepted")
+        return cut(n.join(s, covered, "left_anti").drop("_b").unionByName(by_key.join(self.lookup(), ["producer", "scope"], "left_anti").select(first.columns)), "accepted")
+
+    def add(self, fresh: DataFrame) -> None:
+        """Count these messages as seen: numbers are merged into the ranges, other identifiers listed."""
         numbers = fresh.filter(F.col("number").isNotNull()).select("producer", "scope", F.col("number").alias("lo"), F.col("number").alias("hi"))
         target = f"{self.path}/{self.version + 1}"
         merge_ranges(self.ranges().unionByName(numbers), ["producer", "scope"]).write.mode("overwrite").parquet(f"{target}/ranges")
         self.lookup().unionByName(fresh.filter(F.col("number").isNull()).select("producer", "scope")).write.mode("overwrite").parquet(f"{target}/lookup")
         self._commit()
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        """uncovered, and counted as seen."""
+        fresh = self.uncovered(rows)
+        self.add(fresh)
         return fresh.select("producer", "number", "scope", "order_id")
 
     def _commit(self) -> None:

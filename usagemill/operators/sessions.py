@@ -86,7 +86,7 @@ class SessionTable:
     def __init__(self, spark: SparkSession, keys: list[str], path: str | None = None, buckets: int = BUCKETS) -> None:
         self.spark, self.keys, self.buckets = spark, keys, buckets
         self.path = path or fresh_path(spark, "sessions")
-        self.version, self.where = 0, {}
+        self.version, self.where, self.batch = 0, {}, -1
         self._load()
 
     def _fs(self, name: str):  # noqa: ANN202
@@ -99,7 +99,8 @@ class SessionTable:
             self.version = max([0, *(int(s.getPath().getName()) for s in fs.listStatus(p))])
             if self.version:
                 text = self.spark.read.text(f"{self.path}/_manifest/{self.version}").first()[0]
-                self.where = {int(k): v for k, v in json.loads(text).items()}
+                stored = json.loads(text)
+                self.batch, self.where = stored["batch"], {int(k): v for k, v in stored["where"].items()}
 
     def schema(self) -> str:
         return ", ".join([*(f"{k} string" for k in self.keys), "gap_ms bigint", "start_ms bigint", "end_ms bigint", "event_count bigint"])
@@ -112,8 +113,14 @@ class SessionTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def apply(self, local: DataFrame) -> None:
-        """Merge a batch's local sessions (keys, gap_ms, start_ms, end_ms, event_count) into the table."""
+    def apply(self, local: DataFrame, batch: int | None = None) -> None:
+        """Merge a batch's local sessions (keys, gap_ms, start_ms, end_ms, event_count) into the table.
+
+        Numbered batches are taken once: the manifest holds the last number, so
+        a batch that is run again after its commit changes nothing.
+        """
+        if batch is not None and batch <= self.batch:
+            return
         local = local.select(*self.keys, "gap_ms", "start_ms", "end_ms", "event_count")
         hit = sorted(r[0] for r in local.select(self.bucket().alias("b")).distinct().collect())
         if not hit:
@@ -125,7 +132,8 @@ class SessionTable:
         where = self.where | dict.fromkeys(hit, folder)
         p, fs = self._fs(f"{self.path}/_manifest/{self.version + 1}")
         out = fs.create(p, False)
-        out.write(bytearray(json.dumps({str(k): v for k, v in where.items()}).encode()))
+        self.batch = self.batch if batch is None else batch
+        out.write(bytearray(json.dumps({"batch": self.batch, "where": where}).encode()))
         out.close()
         self.version, self.where = self.version + 1, where
 
