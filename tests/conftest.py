@@ -12,7 +12,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "2g", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "2g", **{"spark.sql.shuffle.partitions": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

@@ -55,10 +55,8 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?\z"
 _PAIR = r"^\[ *([0-9]{1,18}) *, *([0-9]{1,9}) *\]\z"
 
 
-#: Pattern, and which of its groups hold year, month and day, of each calendar format.
-CALENDAR = {
-    "ymd": (_YMD, (1, 3, 4)), "dmy": (_NUMERIC, (4, 3, 1)), "mdy": (_NUMERIC, (4, 1, 3)), "month_first": (_MONTH_FIRST, (3, 1, 2)), "day_first": (_DAY_FIRST, (3, 2, 1)),
-}
+#: Pattern of each calendar shape, and which of its groups hold year, month and day. A text has one shape at most.
+SHAPES = {"ymd": (_YMD, (1, 3, 4)), "numeric": (_NUMERIC, (4, 3, 1)), "month_first": (_MONTH_FIRST, (3, 1, 2)), "day_first": (_DAY_FIRST, (3, 2, 1))}
 _SEP = "\x1f"
 
 
@@ -66,56 +64,70 @@ def _integer(text: Column) -> Column:
     return F.nullif(text, F.lit("")).cast("int")
 
 
-def _groups(t: Column, pattern: str) -> Column:
-    """All eleven groups of a calendar pattern as one array, null where it doesn't match: one look at the text."""
-    return F.when(t.rlike(pattern), F.split(F.regexp_replace(t, pattern, _SEP.join(f"${i}" for i in range(1, 12))), _SEP))
+def _by_shape(value) -> Column:  # noqa: ANN001
+    out = None
+    for name, (pattern, place) in SHAPES.items():
+        test = F.col("shape") == name
+        out = F.when(test, value(pattern, place)) if out is None else out.when(test, value(pattern, place))
+    return out
 
 
-def _clock(groups: Column, year: int, month: int, day: int) -> dict[str, Column]:
-    """Pieces of a calendar text: wall (microseconds as if UTC, null if no real date), offset, zone."""
-    group = lambda i: groups[i - 1]
+def _pieces(base: DataFrame) -> DataFrame:
+    """base with the parts of its text t, a few columns at a time so that nothing is worked out twice.
+
+    wall1 and wall2 are microseconds as if in UTC, null if no real date or time:
+    wall2 is the month-first reading of a numeric date. offset is in minutes.
+    """
+    shape = None
+    for name, (pattern, _) in SHAPES.items():
+        shape = F.when(F.col("t").rlike(pattern), name) if shape is None else shape.when(F.col("t").rlike(pattern), name)
+    df = base.withColumn("shape", shape)
+    text = _by_shape(lambda pattern, _: F.regexp_replace("t", pattern, _SEP.join(f"${i}" for i in range(1, 12))))
+    df = df.withColumns({"g": F.split(text, _SEP), "number": F.when(F.col("shape").isNull() & F.col("t").rlike(_NUMBER), F.expr("try_cast(t AS DECIMAL(38, 18))")), "pair": F.when(F.col("shape").isNull() & F.col("t").rlike(_PAIR), F.split(F.regexp_replace("t", _PAIR, "$1,$2"), ","))})
+    g = lambda i: F.col("g")[i - 1]
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
-    number = lambda i: F.coalesce(group(i).try_cast("int"), F.try_element_at(months, F.lower(group(i))))
-    half = F.upper(group(9))
-    hour, minute, second = _integer(group(5)), _integer(group(6)), F.coalesce(_integer(group(7)), F.lit(0))
-    in_half = hour.between(1, 12)
-    hour24 = F.when(half == "", hour).when(in_half & (half == "AM"), hour % 12).when(in_half & (half == "PM"), hour % 12 + 12)
-    date = F.try_make_timestamp(number(year), number(month), number(day), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
-    micros = F.rpad(F.substring(group(8), 1, 6), 6, "0").cast("bigint")
-    real = hour24.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    wall = F.unix_micros(date) + (hour24 * 3600 + minute * 60 + second).cast("bigint") * 1_000_000 + micros
-    mark = group(10)
-    digits = F.regexp_replace(mark, ":", "")
-    shift = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
-    signed = mark.rlike(r"^[+-]")
+    part = lambda k: _by_shape(lambda _, place: g(place[k]))
+    number = lambda k: F.coalesce(part(k).try_cast("int"), F.try_element_at(months, F.lower(part(k))))
     known = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
-    offset = F.when(signed, F.when((F.substring(digits, 4, 2).try_cast("int") < 60) & (shift <= 18 * 60), F.when(mark.startswith("-"), -shift).otherwise(shift)))
-    offset = offset.otherwise(F.try_element_at(known, F.upper(mark)))
-    matched = groups.isNotNull() & ((mark == "") | offset.isNotNull())
-    return {"wall": F.when(matched & real, wall), "offset": offset, "zone": F.nullif(group(11), F.lit(""))}
-
-
-def _parses(t: Column) -> Column:
+    df = df.withColumns({
+        "y": number(0), "mo": number(1), "d": number(2), "hh": _integer(g(5)), "mi": _integer(g(6)), "ss": F.coalesce(_integer(g(7)), F.lit(0)), "us": F.rpad(F.substring(g(8), 1, 6), 6, "0").cast("bigint"),
+        "half": F.upper(g(9)), "mark": g(10), "zone": F.nullif(g(11), F.lit("")), "digits": F.regexp_replace(g(10), "[^0-9]", ""),
+    })
+    half, hh = F.col("half"), F.col("hh")
+    hour = F.when(half == "", hh).when(hh.between(1, 12), hh % 12 + F.when(half == "PM", 12).otherwise(0))
+    oh, om = F.substring("digits", 1, 2).try_cast("int"), F.substring("digits", 3, 2).try_cast("int")
+    shift = F.when((om < 60) & (oh * 60 + om <= 18 * 60), (oh * 60 + om) * F.when(F.col("mark").startswith("-"), -1).otherwise(1))
+    midnight = lambda m, d: F.unix_micros(F.try_make_timestamp(F.col("y"), m, d, F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
+    df = df.withColumns({
+        "hour": hour, "offset": F.when(F.col("digits") != "", shift).otherwise(F.try_element_at(known, F.upper("mark"))),
+        "date1": F.when(F.col("shape").isNotNull(), midnight(F.col("mo"), F.col("d"))), "date2": F.when(F.col("shape") == "numeric", midnight(F.col("d"), F.col("mo"))),
+    })
+    real = F.col("hour").between(0, 23) & F.col("mi").between(0, 59) & F.col("ss").between(0, 59) & ((F.col("mark") == "") | F.col("offset").isNotNull())
+    time = F.when(real, (F.col("hour") * 3600 + F.col("mi") * 60 + F.col("ss")).cast("bigint") * 1_000_000 + F.col("us"))
+    df = df.withColumn("time", time)
+    return df.withColumns({"wall1": F.col("date1") + F.col("time"), "wall2": F.col("date2") + F.col("time")})
+
+
+def _parses() -> Column:
     """An array with one entry (format, utc, wall, zone) for each format that gives a real date."""
     entries = []
+    none = F.lit(None)
 
-    def entry(name: str, utc: Column, wall: Column, zone: Column) -> None:
-        value = F.struct(F.lit(name).alias("format"), utc.cast("bigint").alias("utc"), wall.cast("bigint").alias("wall"), zone.cast("string").alias("zone"))
+    def entry(name: Column, utc: Column, wall: Column, zone: Column) -> None:
+        value = F.struct(name.alias("format"), utc.cast("bigint").alias("utc"), wall.cast("bigint").alias("wall"), zone.cast("string").alias("zone"))
         entries.append(F.when(utc.isNotNull() | wall.isNotNull(), value))
 
-    for name, (_, place) in CALENDAR.items():
-        c = _clock(F.col(f"_{name}"), *place)
-        fixed = c["offset"].isNotNull()
-        entry(name, F.when(fixed, c["wall"] - c["offset"].cast("bigint") * 60_000_000), F.when(~fixed, c["wall"]), c["zone"])
-    none = F.lit(None)
-    number = F.when(t.rlike(_NUMBER), F.expr("try_cast(_t AS DECIMAL(38, 18))"))
+    for wall, name in (("wall1", F.when(F.col("shape") == "numeric", "dmy").otherwise(F.col("shape"))), ("wall2", F.lit("mdy"))):
+        fixed = F.col("offset").isNotNull()
+        entry(name, F.when(fixed, F.col(wall) - F.col("offset").cast("bigint") * 60_000_000), F.when(~fixed, F.col(wall)), F.col("zone"))
+    number = F.col("number")
     for name, per_second in UNITS.items():
         inside = (number >= F.lit(CENTURY[0] * per_second)) & (number < F.lit(CENTURY[1] * per_second))
         scaled = number * F.lit(1_000_000 // per_second) if per_second <= 1_000_000 else number / F.lit(per_second // 1_000_000)
-        entry(name, F.when(inside, F.floor(scaled)), none.cast("bigint"), none)
-    seconds, nanos = (F.nullif(F.regexp_extract(t, _PAIR, i), F.lit("")).cast("bigint") for i in (1, 2))
+        entry(F.lit(name), F.when(inside, F.floor(scaled)), none.cast("bigint"), none)
+    seconds, nanos = F.col("pair")[0].cast("bigint"), F.col("pair")[1].cast("bigint")
     inside = (seconds >= CENTURY[0]) & (seconds < CENTURY[1])
-    entry("pair", F.when(inside, seconds * 1_000_000 + F.floor(nanos / 1000)), none.cast("bigint"), none)
+    entry(F.lit("pair"), F.when(inside, seconds * 1_000_000 + F.floor(nanos / 1000)), none.cast("bigint"), none)
     return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
 
@@ -123,18 +135,18 @@ def _local(us: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
 
 
-def resolve_wall(wall: Column, zone: Column) -> tuple[Column, Column]:
-    """(instants, first): how many UTC instants show wall in zone, and the earliest.
+def resolve_wall(df: DataFrame, wall: str, zone: str) -> DataFrame:
+    """df with n, how many UTC instants show wall in zone, and first, the earliest of them.
 
     The offsets in force a day before and a day after are the only ones that can
     hold around a change, so two candidates are enough.
     """
-    before = _local(wall - DAY, zone) - (wall - DAY)
-    after = _local(wall + DAY, zone) - (wall + DAY)
-    a, b = wall - before, wall - after
-    a_holds, b_holds = _local(a, zone) == wall, (_local(b, zone) == wall) & (before != after)
-    count = a_holds.cast("int") + b_holds.cast("int")
-    return count, F.when(a_holds & b_holds, F.least(a, b)).when(a_holds, a).when(b_holds, b)
+    w, z = F.col(wall), F.col(zone)
+    df = df.withColumns({"_before": _local(w - DAY, z) - (w - DAY), "_after": _local(w + DAY, z) - (w + DAY)})
+    a, b = w - F.col("_before"), w - F.col("_after")
+    df = df.withColumns({"_a": F.when(_local(a, z) == w, a), "_b": F.when((_local(b, z) == w) & (F.col("_before") != F.col("_after")), b)})
+    count = F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int")
+    return df.withColumns({"n": F.when(w.isNotNull(), count), "first": F.least("_a", "_b")}).drop("_before", "_after", "_a", "_b")
 
 
 def mixture_weights(signatures: list[tuple[tuple[str, ...], int]], rounds: int = 50) -> dict[str, float]:
@@ -173,9 +185,8 @@ def _choose(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
 def interpret(df: DataFrame, record_id: Column, source: Column, text: Column, zone: Column) -> DataFrame:
     """(record_id, source, host_zone, signature, parses) of all readings; signature names the formats that hold."""
     known = F.when(zone.rlike(r"^(UTC|GMT|[A-Z][A-Za-z_]+(/[A-Za-z0-9_+\-]+)+)\z"), zone)
-    base = df.select(record_id.cast("bigint").alias("record_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.trim(text).alias("_t"), known.alias("host_zone"))
-    looked = base.select("*", *[_groups(F.col("_t"), pattern).alias(f"_{name}") for name, (pattern, _) in CALENDAR.items()])
-    parsed = looked.select("record_id", "source", "host_zone", _parses(F.col("_t")).alias("parses"))
+    base = df.select(record_id.cast("bigint").alias("record_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.trim(text).alias("t"), known.alias("host_zone"))
+    parsed = _pieces(base).select("record_id", "source", "host_zone", _parses().alias("parses"))
     return parsed.withColumn("signature", F.array_join(F.transform("parses", lambda e: e["format"]), "|"))
 
 
@@ -194,9 +205,9 @@ def normalise(df: DataFrame, record_id: Column, source: Column, text: Column, zo
     rows = parsed.join(table, ["source", "signature"], "left")
     picked = F.filter("parses", lambda e: e["format"] == F.col("chosen"))[0]
     rows = rows.withColumn("p", F.when(F.size("parses") > 0, picked))
-    zone_used = F.coalesce(F.col("p.zone"), F.col("host_zone"))
-    count, first = resolve_wall(F.col("p.wall"), F.coalesce(zone_used, F.lit("UTC")))
-    rows = rows.withColumn("n", count).withColumn("first", first).withColumn("zone_used", zone_used)
+    rows = rows.withColumn("zone_used", F.coalesce("p.zone", "host_zone"))
+    rows = rows.withColumns({"wall": F.col("p.wall"), "zone": F.coalesce("zone_used", F.lit("UTC"))})
+    rows = resolve_wall(rows, "wall", "zone")
     status = (
         F.when(F.col("p").isNull(), "invalid")
         .when(F.col("posterior") < min_posterior, "undecided")
