@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.functions.names import aliased, normal_key
+from usagemill.session import cut
 
 MAX_NAMES = 100_000
 
@@ -65,8 +66,12 @@ def by_likeness(models: DataFrame, price: DataFrame) -> DataFrame:
 
 
 def resolve(models: DataFrame, price: DataFrame, aliases: dict[str, str] | None = None, exact_only: Column | None = None) -> DataFrame:
-    """(model, key, how): the first lookup that finds something, in a fixed order."""
-    names = models.select("model").filter(F.col("model").isNotNull()).distinct()
+    """(model, key, how): the first lookup that finds something, in a fixed order.
+
+    The distinct names are written first, so the rows they come from are read
+    once, not once per lookup.
+    """
+    names = cut(models.select("model").filter(F.col("model").isNotNull()).distinct(), "models")
     like = names if exact_only is None else names.filter(~exact_only)
     steps = [("exact", exact(names, price)), ("alias", by_alias(names, price, aliases or {})), ("normal", by_normal_form(names, price)), ("like", by_likeness(like, price))]
     found = None
@@ -80,7 +85,7 @@ def resolve(models: DataFrame, price: DataFrame, aliases: dict[str, str] | None
 def priced(usage: DataFrame, price: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """usage with the rates of its model, null where there is none."""
     found = resolve(usage, price, aliases)
-    rates = found.join(price.withColumnRenamed("model", "key"), "key").drop("key", "how")
+    rates = cut(found.join(price.withColumnRenamed("model", "key"), "key").drop("key", "how").coalesce(1), "rates")
     return usage.join(bounded(rates), "model", "left")
 
 
