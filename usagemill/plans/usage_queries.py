@@ -549,3 +549,144 @@ n AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 def session_gap_window(s, d):
     e = table(s, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# More of the order, identity and text operators
+
+
+@query("""WITH c AS (SELECT record_id, src_file, line_no, payload.usage.total_tokens AS last, sum(CASE WHEN record_id % 5 = 0 THEN 0 ELSE payload.usage.total_tokens END) OVER (PARTITION BY src_file ORDER BY line_no, record_id ROWS UNBOUNDED PRECEDING) AS cum FROM codex_records),
+d AS (SELECT *, cum - coalesce(lag(cum) OVER (PARTITION BY src_file ORDER BY line_no, record_id), 0) AS rise FROM c)
+SELECT record_id, (CASE WHEN rise <= 0 THEN 0 WHEN record_id % 2 = 0 THEN last ELSE rise END)::BIGINT AS usage FROM d""")
+def last_or_delta(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("src_file").orderBy("line_no", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("payload.usage.total_tokens")
+    df = table(s, d, "codex_records").select("record_id", "src_file", "line_no", F.when(F.col("record_id") % 2 == 0, t).alias("last"), F.sum(F.when(F.col("record_id") % 5 == 0, 0).otherwise(t)).over(w).alias("cum"))
+    return ordered.last_or_delta(df, ["src_file"], ["line_no", "record_id"], "cum", "last").select("record_id", "usage")
+
+
+@query("""WITH c AS (SELECT record_id, src_file, line_no, type = 'compacted' OR payload.model IS NOT NULL AS there, CASE WHEN type = 'compacted' THEN NULL ELSE payload.model END AS v FROM codex_records),
+g AS (SELECT *, count(*) FILTER (WHERE there) OVER (PARTITION BY src_file ORDER BY line_no, record_id ROWS UNBOUNDED PRECEDING) AS grp FROM c)
+SELECT record_id, first_value(CASE WHEN there THEN v END) OVER (PARTITION BY src_file, grp ORDER BY line_no, record_id) AS carried FROM g""")
+def carry_known_value(s, d):
+    m = F.col("payload.model")
+    df = table(s, d, "codex_records").withColumn("there", (F.col("type") == "compacted") | m.isNotNull())
+    return ordered.carry_known(df, ["src_file"], ["line_no", "record_id"], F.col("there"), F.when(F.col("type") != "compacted", m), "carried").select("record_id", "carried")
+
+
+@query("""WITH x AS (SELECT record_id, src_file, line_no, payload.usage.total_tokens AS t FROM codex_records),
+m AS (SELECT *, max(t) OVER (PARTITION BY src_file ORDER BY line_no, record_id ROWS UNBOUNDED PRECEDING) AS top, min(t) OVER (PARTITION BY src_file ORDER BY line_no, record_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM x),
+h AS (SELECT *, max(least(top, low)) OVER (PARTITION BY src_file ORDER BY line_no, record_id ROWS UNBOUNDED PRECEDING) AS held FROM m)
+SELECT record_id, (held - coalesce(lag(held) OVER (PARTITION BY src_file ORDER BY line_no, record_id), 0))::BIGINT AS rise FROM h""")
+def lasting_rise(s, d):
+    df = table(s, d, "codex_records").select("record_id", "src_file", "line_no", F.col("payload.usage.total_tokens").alias("t"))
+    return ordered.lasting_rise(df, ["src_file"], ["line_no", "record_id"], "t", "rise").select("record_id", "rise")
+
+
+@query("SELECT count(DISTINCT trim(message.id)) AS gone FROM claude_usage s WHERE batch_id % 2 = 0 AND trim(message.id) <> '' AND NOT EXISTS (SELECT 1 FROM claude_usage l WHERE l.batch_id % 2 = 1 AND trim(l.message.id) = trim(s.message.id))")
+def ledger_anti_join(s, d):
+    """Stored messages (even batches) that are live (odd batches) no more."""
+    from usagemill.operators.ledger import with_key
+
+    u = with_key(table(s, d, "claude_usage").select("batch_id", "record_id", F.col("message.id").alias("message_id"), *[F.lit(None).cast("string").alias(x) for x in ("session_id", "model")], *[F.lit(None).cast("bigint").alias(x) for x in ("ts_ms", *TOKENS)], F.lit(None).cast("double").alias("cost_usd")))
+    u = u.filter(lenient.non_empty(F.col("message_id")).isNotNull())
+    gone = relate.not_counted(u.filter("batch_id % 2 = 0"), u.filter("batch_id % 2 = 1"), ["dedup_key"])
+    return gone.agg(F.count_distinct("dedup_key").alias("gone"))
+
+
+@query("SELECT src_file, arg_max(v, (p, -record_id)) AS value FROM (SELECT src_file, record_id, payload.model AS v, CASE type WHEN 'compacted' THEN 2 ELSE 1 END AS p FROM codex_records) WHERE v IS NOT NULL GROUP BY 1")
+def best_attribute(s, d):
+    df = table(s, d, "codex_records").select("src_file", "record_id", F.col("payload.model").alias("value"), F.when(F.col("type") == "compacted", 2).otherwise(1).alias("p"))
+    return relate.best_attribute(df, "src_file", "value", "p", "record_id")
+
+
+@query("SELECT record_id FROM codex_records r LEFT JOIN (SELECT src_file, max(record_id) AS cutoff FROM codex_records WHERE type = 'compacted' GROUP BY 1) c USING (src_file) WHERE cutoff IS NULL OR record_id > cutoff")
+def after_cutoff(s, d):
+    df = table(s, d, "codex_records")
+    cutoffs = df.filter("type = 'compacted'").groupBy("src_file").agg(F.max("record_id").alias("cutoff"))
+    return relate.after_cutoff(df, cutoffs, ["src_file"], "record_id", "cutoff").select("record_id")
+
+
+@query("SELECT record_id FROM codex_records r LEFT JOIN (SELECT src_file, min(line_no) AS cutoff FROM codex_records WHERE payload.model = 'lumen-2' GROUP BY 1) c USING (src_file) WHERE cutoff IS NULL OR line_no > cutoff")
+def copied_history(s, d):
+    df = table(s, d, "codex_records")
+    forks = df.filter(F.col("payload.model") == "lumen-2").groupBy("src_file").agg(F.min("line_no").alias("cutoff"))
+    return relate.copied_history(df, forks, "src_file", "line_no").select("record_id")
+
+
+@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT record_id AS r, x FROM (SELECT record_id, 'm' || trim(message.id) AS x FROM claude_usage UNION ALL SELECT record_id, 'q' || trim(requestId) FROM claude_usage) WHERE length(x) > 1),
+ln AS (SELECT DISTINCT a.r, b.r AS o FROM pairs a JOIN pairs b ON a.x = b.x),
+reach AS (SELECT r, o FROM ln UNION SELECT reach.r, ln.o FROM reach JOIN ln ON ln.r = reach.o)
+SELECT r AS record_id, min(o) AS component FROM reach GROUP BY r""")
+def shared_identities(s, d):
+    """Records that share a message id or a request id, directly or through others."""
+    df = table(s, d, "claude_usage")
+    m, q = lenient.non_empty(F.col("message.id")), lenient.non_empty(F.col("requestId"))
+    pairs = df.select("record_id", F.concat(F.lit("m"), m).alias("x")).unionByName(df.select("record_id", F.concat(F.lit("q"), q).alias("x")))
+    return relate.shared_identities(pairs, "record_id", "x")
+
+
+@query("""WITH p AS (SELECT record_id, nullif(trim(payload.response_id), '') AS id, CASE type WHEN 'compacted' THEN 0 ELSE 1 END AS pr FROM codex_records)
+SELECT record_id, id FROM p WHERE id IS NULL UNION ALL (SELECT record_id, id FROM p WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY pr, record_id) = 1)""")
+def source_priority(s, d):
+    df = table(s, d, "codex_records").select("record_id", "type", lenient.non_empty(F.col("payload.response_id")).alias("id"))
+    parts = [df.filter("type = 'compacted'").drop("type"), df.filter("type <> 'compacted'").drop("type")]
+    return dedupe.with_priority(parts, [F.col("id")], "record_id").select("record_id", "id")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT (sessionId, timestamp, message.model, message.usage.input_tokens)) AS keys FROM claude_usage")
+def content_keys(s, d):
+    df = table(s, d, "claude_usage").select("sessionId", "timestamp", F.col("message.model").alias("model"), F.col("message.usage.input_tokens").alias("i"))
+    return df.select(dedupe.content_key("sessionId", "timestamp", "model", "i").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("k").alias("keys"))
+
+
+@query("SELECT record_id, CASE WHEN v > 1e12 THEN v::BIGINT ELSE (v * 1000)::BIGINT END AS ms FROM (SELECT record_id, try_cast(trim(session.ts) AS BIGINT)::DOUBLE AS v FROM agent_clock WHERE regexp_full_match(trim(session.ts), '[0-9]{10}|[0-9]{13}'))")
+def epoch_by_size(s, d):
+    df = table(s, d, "agent_clock").select("record_id", F.trim("session.ts").alias("t")).filter(F.col("t").rlike(r"^(?:[0-9]{10}|[0-9]{13})\z"))
+    return df.select("record_id", dates.epoch_ms(F.col("t").cast("bigint")).alias("ms"))
+
+
+@query("SELECT DISTINCT project, regexp_replace(project, '^-(Users|home)-[^-]+-', '') AS shown, replace(project, '-', ' ') AS plain FROM claude_usage WHERE project IS NOT NULL")
+def project_display_name(s, d):
+    p = F.col("project")
+    df = table(s, d, "claude_usage").filter(p.isNotNull()).select("project").distinct()
+    return df.select("project", names.project_name(F.concat(F.lit("-Users-me-"), p)).alias("shown"), names.decoded(F.regexp_replace(p, "-", "%20")).alias("plain"))
+
+
+@query("SELECT record_id, (record_id + 1700000000)::BIGINT AS reset_s FROM claude_usage WHERE isApiErrorMessage")
+def reset_time_extract(s, d):
+    df = table(s, d, "claude_usage").filter("isApiErrorMessage")
+    text = F.concat(F.lit("usage limit reached|"), (F.col("record_id") + 1700000000).cast("string"))
+    return df.select("record_id", names.reset_seconds(text).alias("reset_s"))
+
+
+@query("SELECT line_id, coalesce(CASE WHEN json_type(raw, '$.message.usage.input_tokens') IN ('UBIGINT', 'BIGINT') THEN (raw->>'$.message.usage.input_tokens')::BIGINT END, 0) AS n FROM log_lines")
+def json_counts(s, d):
+    v = F.try_variant_get(F.try_parse_json("raw"), "$.message.usage.input_tokens", "variant")
+    return table(s, d, "log_lines").select("line_id", lenient.json_count(v).alias("n"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT event_id) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def stream_daily_totals(s, d):
+    """The event table taken in as a stream, each event once, and counted by day."""
+    from usagemill.session import fresh_path
+    from usagemill.streaming.ingest import batch_sink, once
+
+    source = s.read.parquet(f"{d}/events.parquet")
+    to, cp = fresh_path(s, "stream"), fresh_path(s, "progress")
+    stream = s.readStream.schema(source.schema).format("parquet").load(f"{d}/events.parquet*")
+    timed = once(stream.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at", "10 minutes")
+    timed.writeStream.foreachBatch(batch_sink(to)).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    kept = s.read.schema(timed.schema).option("recursiveFileLookup", "true").parquet(to)
+    return kept.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("value"))
+
+
+@query(f"WITH {PRICED_SQL}, r AS (SELECT coalesce(project, 'unknown') AS project, date, sum(total)::BIGINT AS t FROM priced GROUP BY 1, 2) SELECT project, '[' || string_agg('{{\"date\":\"' || date || '\",\"t\":' || t || '}}', ',' ORDER BY date) || ']' AS json FROM r GROUP BY 1")
+def project_json(s, d):
+    from usagemill.plans.reports import by_project_json
+
+    u = usage(s, d).withColumn("cost", F.lit(0.0)).withColumn("project", F.coalesce("project", F.lit("unknown")))
+    rows = aggregate.by_key(u, ["date", "project"]).select("date", F.col("total_tokens").alias("t"), "project")
+    out = by_project_json(rows)
+    return out.select("project", F.regexp_replace("json", r',"project":"[^"]*"', "").alias("json"))
