@@ -42,11 +42,13 @@ def by_normal_form(models: DataFrame, price: DataFrame) -> DataFrame:
 
 
 def _boundary(text: Column, part: Column) -> Column:
-    """Whether part stands in text between token boundaries, and no further version number follows it."""
-    at = F.instr(text, part)
-    before = F.when(at > 1, F.substring(text, at - 1, F.lit(1))).otherwise("-")
-    rest = F.substring(text, at + F.length(part), F.length(text))
-    return (at > 0) & before.rlike(r"[^A-Za-z0-9]") & (rest.rlike(r"^(?:$|[^A-Za-z0-9])")) & (~rest.rlike(r"^[-.][0-9]") | rest.rlike(r"^-[0-9]{8}(?:$|[^0-9])"))
+    """Whether part stands somewhere in text between token boundaries, and no further version number follows it.
+
+    A date of eight digits is no version. Both are in lower case.
+    """
+    literal = F.regexp_replace(part, r"([^a-z0-9])", r"\\$1")
+    after = F.lit(r"(?:$|(?=[^a-z0-9])(?![-.][0-9])|(?=-[0-9]{8}(?:$|[^0-9])))")
+    return F.rlike(text, F.concat(F.lit(r"(?:^|[^a-z0-9])"), literal, after))
 
 
 def by_likeness(models: DataFrame, price: DataFrame) -> DataFrame:
