@@ -84,7 +84,7 @@ def test_empty(spark, tok):
 
 
 def test_offsets_tile_each_source(spark):
-    df = spark.createDataFrame([(i, "a" if i % 3 else "b", i % 5 + 1) for i in range(300)], "doc_id bigint, source string, n_tokens bigint")
+    df = spark.createDataFrame([(i % 7, "a" if i % 3 else "b", i % 5 + 1, i) for i in range(300)], "doc_id bigint, source string, n_tokens bigint, row bigint")
     for source in "ab":
         got = sorted((r.offset, r.n_tokens) for r in laid_out(df).filter(F.col("source") == source).collect())
         assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))

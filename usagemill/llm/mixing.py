@@ -111,13 +111,14 @@ def sized(df: DataFrame, doc_id: Column, source: Column, text: Column, vocabular
 def laid_out(sizes: DataFrame) -> DataFrame:
     """sizes with the offset of each text in its source's row of tokens.
 
-    Texts are spread over buckets by hash, so that a huge source is summed up in
-    many tasks; the buckets' totals per source are then summed in order.
+    Texts are spread over buckets by a hash of their row number, so that a huge
+    source, or a text that is there very often, is summed up in many tasks; the
+    buckets' totals per source are then summed in order.
     """
     buckets = sizes.count() // DOCS_PER_BUCKET + 1
-    bucket = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
     rows = sizes.withColumn("bucket", bucket)
-    within = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("n_tokens").over(within))
     totals = sizes.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("n_tokens").alias("all"))
     across = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,7 +149,7 @@ def plan(sizes: DataFrame, targets: DataFrame, block: int, total_tokens: int | N
 
 def mix(df: DataFrame, doc_id: Column, source: Column, text: Column, targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD_SLOTS, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, list[dict]]:
     """The drawn set, one row per text part in a slot, and the plan it was drawn by."""
-    sizes = cut(sized(df, doc_id, source, text, vocabulary), "sizes")
+    sizes = cut(sized(df, doc_id, source, text, vocabulary).withColumn("row", F.monotonically_increasing_id()), "sizes")
     wanted = F.broadcast(targets.filter(F.col("source").isNotNull()).select("source").distinct())
     used = sizes.filter(F.col("n_tokens") > 0).join(wanted, "source", "left_semi")
     made = plan(used, targets, block, total_tokens)
