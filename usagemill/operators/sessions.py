@@ -34,6 +34,7 @@ from usagemill.session import cut, delete_path, fresh_path
 
 DEFAULT_GAP_MS = 5 * 3_600_000
 BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
 #: An ISO 8601 instant: date, T, time, any fraction, Z or an offset.
 INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:[Zz]|[+-][0-9]{2}(?::?[0-5][0-9])?)\z"
 
@@ -167,12 +168,12 @@ def sessionise(events: DataFrame, keys: list[str], batch: str, increments: int =
     """
     spark = events.sparkSession
     bounds = bounds or events.agg(F.min(batch), F.max(batch)).first()
-    table = SessionTable(spark, keys)
     if bounds[0] is None:
-        return table
+        return SessionTable(spark, keys)
     span = max(1, -(-(bounds[1] - bounds[0] + 1) // increments))
     step = F.floor((F.col(batch) - bounds[0]) / span).cast("int")
     local = cut(local_sessions(events.withColumn("_step", step), keys, "time_ms", "gap_ms", ["_step"]), "local")
+    table = SessionTable(spark, keys, buckets=max(BUCKETS, local.count() // ROWS_PER_BUCKET))
     for i in range(increments):
         table.apply(local.filter(F.col("_step") == i))
         table.vacuum()
