@@ -34,7 +34,7 @@ def check(tok, text, rows, max_tokens, overlap):
 
 
 def test_pieces_fit_share_and_cover(spark, tok):
-    for seed, text in enumerate([prose(80), prose(200, 3), "日本語の文章です。" * 90, "🙂" * 300, "x" * 5000, "one two\n" * 300, "a b " * 700]):
+    for seed, text in enumerate([prose(80), prose(200, 3), "日本語の文章です。" * 90, "🙂" * 300, "x" * 5000, "one two\n" * 300, "a b " * 700, "few words\n\n" + "y7" * 4000, "w " * 9 + "q" * 3000 + " and more" * 200]):
         for overlap in (0, 10, 40):
             check(tok, text, run(spark, [(seed, text, "c")], 100, overlap), 100, overlap)
 

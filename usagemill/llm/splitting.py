@@ -133,13 +133,15 @@ def cut_points(x: Text, max_tokens: int, min_tokens: int, overlap: int) -> list[
         if n - start <= max_tokens and x.alone(start, n) <= max_tokens:
             out.append((start, n, 4))
             return out
-        low, high = min(fresh + min_tokens, start + max_tokens - 1), min(n - 1, start + max_tokens)
+        # A piece is longer than what it shares with the next, which so begins after it.
+        least = max(fresh, start + overlap) + 1
+        low, high = max(least, min(fresh + min_tokens, start + max_tokens - 1)), min(n - 1, start + max_tokens)
         while True:
-            stop = _stop(level, marks, max(fresh + 1, low), high, overlap, fresh + 1)
+            stop = _stop(level, marks, low, high, overlap, least)
             over = x.alone(start, stop) - max_tokens
-            if over <= 0 or stop <= fresh + 1:
+            if over <= 0 or stop <= least:
                 break
-            high = max(fresh + 1, stop - over)
+            high = max(least, stop - over)
             low = min(low, high)
         out.append((start, stop, int(max(0, level[stop]))))
         fresh, start = stop, max(0, stop - overlap)
