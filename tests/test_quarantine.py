@@ -96,6 +96,34 @@ def test_valid_rows_are_loaded_and_typed(spark):
     assert {r.input_tokens for r in got} >= {5, 7, 12, 9223372036854775807}
 
 
+ROWS = [
+    (
+        "codex_jsonl",
+        '{"timestamp":"t","type":"event_msg","payload":{"type":"token_count","model":"m","metadata":{"b":[1.50,{"é":null}],"a":"\\ud800","n":12345678901234567890},"usage":{"input_tokens":7,"output_tokens":9}}}',
+        {"event_time": "t", "type": "event_msg", "payload_type": "token_count", "model": "m", "input_tokens": 7, "output_tokens": 9, "metadata": '{"b":[1.50,{"é":null}],"a":"\\ud800","n":12345678901234567890}'},
+    ),
+    ("codex_jsonl", '{"payload":{"usage":{"input_tokens":"x","output_tokens":-1}}}', {}),
+    ("codex_jsonl", '{"payload":{"metadata":{}}}', {"metadata": "{}"}),
+    ("codex_jsonl", '{"payload":{"metadata":{"a":' + "[" * 20000 + "]" * 20000 + "}}}", {"metadata": '{"a":' + "[" * 20000 + "]" * 20000 + "}"}),
+    (
+        "cline_json",
+        '{"session":{"sessionId":"s","id":"i","role":"user","ts":12,"modelInfo":{"id":"m","provider":"p"},"metrics":{"inputTokens":" 5 ","outputTokens":6,"cacheReadTokens":7,"cacheWriteTokens":8,"cost":0.25}}}',
+        {"session_id": "s", "message_id": "i", "role": "user", "event_time": "12", "model": "m", "provider": "p", "input_tokens": 5, "output_tokens": 6, "cache_read_tokens": 7, "cache_write_tokens": 8, "cost": 0.25},
+    ),
+    (
+        "cline_csv",
+        's,i,t,user,m,p,5,6,7,8,1e-2,"{""a"": 1.0}"',
+        {"session_id": "s", "message_id": "i", "event_time": "t", "role": "user", "model": "m", "provider": "p", "input_tokens": 5, "output_tokens": 6, "cache_read_tokens": 7, "cache_write_tokens": 8, "cost": 0.01, "metadata": '{"a": 1.0}'},
+    ),
+]
+
+
+def test_all_fields_of_each_layout_are_loaded(spark):
+    got = {r.record_id: r.asDict() for r in load_valid(frame(spark, ROWS), F.col("record_id"), F.col("layout"), F.col("raw")).collect()}
+    for i, (layout, _, want) in enumerate(ROWS):
+        assert {k: v for k, v in got[i].items() if v is not None} == {"record_id": i, "layout": layout, **want}
+
+
 def test_repeated_rows_and_empty_input(spark):
     twice = run(spark, [CASES[7]] * 3)
     assert twice.count() == 3

@@ -1,9 +1,9 @@
 """Rows that fail to parse: set them aside with a reason, load the others.
 
 A structural pass reads every record once (strict JSON, or CSV with doubled
-quotes) and pulls out the judged values. Each distinct value per column is then
-cast once; the values that fail form a dictionary with reasons, which is joined
-back to the records beside the structural findings.
+quotes) and pulls out the values of all its layout's fields. Each distinct judged
+value per column is then cast once; the values that fail form a dictionary with
+reasons, which is joined back to the records beside the structural findings.
 
 Defined results
     a null record          bad_json in the JSON layouts, column_count in CSV
@@ -11,6 +11,9 @@ Defined results
     a repeated JSON key    the last one counts
     any nesting depth, any length of numbers and texts: judged like the rest
     equal rows             each is judged; the result has a row for each failure
+    an unjudged number     null in the loaded row, if it isn't one of its type
+    a loaded metadata      in CSV the text as it is, in codex_jsonl compact JSON
+                           with numbers as written
     empty input            empty tables
 """
 
@@ -29,7 +32,9 @@ from usagemill.session import cut
 
 CSV_COLUMNS = ("sessionId", "id", "timestamp", "role", "model", "provider", "inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "cost", "metadata")
 MAX_LONG = "9223372036854775807"
-PARSED = "record_id bigint, layout string, structural string, tokens string, metadata string, session_id string, event_time string, model string, output_tokens string"
+#: The values of a record; tokens and metadata are judged, the others loaded as they are.
+VALUES = ("tokens", "metadata", "session_id", "event_time", "model", "output_tokens", "input_tokens", "metadata_json", "message_id", "role", "provider", "type", "payload_type", "cache_read_tokens", "cache_write_tokens", "cost")
+PARSED = ", ".join(["record_id bigint", *(f"{x} string" for x in ("layout", "structural", *VALUES))])
 #: Stand for values that aren't text; no valid value begins with a NUL.
 MISSING, OTHER = "\0missing", "\0other"
 
@@ -143,43 +148,73 @@ def _plain(value: object) -> str | None:
     return value.encode("utf-8", "replace").decode() if isinstance(value, str) else None
 
 
+def _json_text(value: object) -> str:
+    """Compact JSON with numbers as they were written, at any depth; halves of surrogate pairs stay escaped."""
+    out, stack = [], [value]
+    quote = lambda x: json.dumps(x, ensure_ascii=False)
+    while stack:
+        v = stack.pop()
+        if isinstance(v, Number):
+            out.append(v)
+        elif isinstance(v, dict):
+            parts = [x for i, (k, item) in enumerate(v.items()) for x in (Number(("," if i else "") + quote(k) + ":"), item)]
+            stack += [Number("}"), *reversed(parts), Number("{")]
+        elif isinstance(v, list):
+            parts = [x for i, item in enumerate(v) for x in (Number("," if i else ""), item)]
+            stack += [Number("]"), *reversed(parts), Number("[")]
+        else:
+            out.append(quote(v))
+    return "".join(out).encode("utf-8", "backslashreplace").decode()
+
+
 def _dig(value: object, *path: str) -> object:
     for p in path:
         value = value.get(p) if isinstance(value, dict) else None
     return value
 
 
+def _values(**values: str | None) -> tuple:
+    return tuple(values.get(x) for x in VALUES)
+
+
 def parse_record(layout: str | None, raw: str | None) -> tuple:
-    """(structural, tokens, metadata, session_id, event_time, model, output_tokens) of one record."""
-    none = (None,) * 6
+    """(structural, *VALUES) of one record."""
     if layout in ("codex_jsonl", "cline_json"):
         top = strict_object(raw)
         if top is None:
-            return ("bad_json", *none)
+            return ("bad_json", *_values())
         if layout == "codex_jsonl":
-            payload = top.get("payload")
-            meta = _dig(payload, "metadata")
-            key = None if meta is None or isinstance(meta, dict) else OTHER
-            return (None, None, key, None, _plain(top.get("timestamp")), _plain(_dig(payload, "model")), _plain(_dig(payload, "usage", "output_tokens")))
-        session = top.get("session")
-        tokens = _text(_dig(session, "metrics", "inputTokens"))
-        return (None, tokens, None, _plain(_dig(session, "sessionId")), _plain(_dig(session, "ts")), _plain(_dig(session, "modelInfo", "id")), _plain(_dig(session, "metrics", "outputTokens")))
+            at = lambda *path: _plain(_dig(top, *path))
+            meta = _dig(top, "payload", "metadata")
+            sound = isinstance(meta, dict)
+            return (None, *_values(
+                metadata=None if meta is None or sound else OTHER, metadata_json=_json_text(meta) if sound else None, event_time=at("timestamp"), type=at("type"), payload_type=at("payload", "type"), model=at("payload", "model"),
+                input_tokens=at("payload", "usage", "input_tokens"), output_tokens=at("payload", "usage", "output_tokens"),
+            ))
+        at = lambda *path: _plain(_dig(top, "session", *path))
+        return (None, *_values(
+            tokens=_text(_dig(top, "session", "metrics", "inputTokens")), session_id=at("sessionId"), message_id=at("id"), role=at("role"), event_time=at("ts"), model=at("modelInfo", "id"), provider=at("modelInfo", "provider"),
+            output_tokens=at("metrics", "outputTokens"), cache_read_tokens=at("metrics", "cacheReadTokens"), cache_write_tokens=at("metrics", "cacheWriteTokens"), cost=at("metrics", "cost"),
+        ))
     if layout == "cline_csv":
         fields = csv_fields(raw or "")
         if fields is None:
-            return ("bad_quoting", *none)
+            return ("bad_quoting", *_values())
         if len(fields) != len(CSV_COLUMNS):
-            return ("column_count", *none)
+            return ("column_count", *_values())
         row = dict(zip(CSV_COLUMNS, fields))
-        return (None, row["inputTokens"], row["metadata"] or None, row["sessionId"], row["timestamp"], row["model"], row["outputTokens"])
-    return ("unknown_layout", *none)
+        return (None, *_values(
+            tokens=row["inputTokens"], metadata=row["metadata"] or None, session_id=row["sessionId"], message_id=row["id"], role=row["role"], event_time=row["timestamp"], model=row["model"], provider=row["provider"],
+            output_tokens=row["outputTokens"], cache_read_tokens=row["cacheReadTokens"], cache_write_tokens=row["cacheWriteTokens"], cost=row["cost"],
+        ))
+    return ("unknown_layout", *_values())
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["record_id", "layout", "structural", "tokens", "metadata", "session_id", "event_time", "model", "output_tokens"]
+    names = ["record_id", "layout", "structural", *VALUES]
     for batch in batches:
         rows = [parse_record(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        columns = list(zip(*rows)) if rows else [[]] * 7
+        columns = list(zip(*rows)) if rows else [[]] * (len(VALUES) + 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in columns)], names=names)
 
 
@@ -197,6 +232,11 @@ def whole_number(text: Column) -> Column:
     return text.rlike(r"^ *[0-9]+ *\z") & short
 
 
+def decimal_number(text: Column) -> Column:
+    """text as a double, null unless it is a number in decimal digits, spaces around allowed."""
+    return F.when(text.rlike(r"^ *[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)? *\z"), F.trim(text).try_cast("double"))
+
+
 def parse(df: DataFrame, record_id: Column, layout: Column, raw: Column) -> DataFrame:
     """The structural pass; written, as the dictionaries and the join both read it."""
     three = df.select(record_id.cast("bigint").alias("record_id"), layout.alias("layout"), raw.alias("raw"))
@@ -227,7 +267,11 @@ def quarantine(df: DataFrame, record_id: Column, layout: Column, raw: Column) ->
 
 
 def load_valid(df: DataFrame, record_id: Column, layout: Column, raw: Column) -> DataFrame:
-    """The valid rows of all layouts in typed columns."""
+    """The valid rows with the fields of all layouts in typed columns, null where a layout has no such field."""
     good = judged(parse(df, record_id, layout, raw)).filter(F.col("reason").isNull())
     number = lambda c: F.when(whole_number(F.col(c)), F.trim(c).cast("bigint"))
-    return good.select("record_id", "layout", "session_id", "event_time", "model", number("tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"))
+    return good.select(
+        "record_id", "layout", "session_id", "event_time", "model", F.coalesce(number("tokens"), number("input_tokens")).alias("input_tokens"), number("output_tokens").alias("output_tokens"),
+        "message_id", "role", "provider", "type", "payload_type", number("cache_read_tokens").alias("cache_read_tokens"), number("cache_write_tokens").alias("cache_write_tokens"),
+        decimal_number(F.col("cost")).alias("cost"), F.coalesce("metadata_json", "metadata").alias("metadata"),
+    )
