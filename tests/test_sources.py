@@ -160,6 +160,30 @@ def test_databases(spark, tmp_path):
     assert run(spark, "kilo", tmp_path / "nothing-here" if (tmp_path / "nothing-here").mkdir() is None else "") == []
 
 
+def test_opencode_forks_aggregates_and_compactions(spark, tmp_path):
+    data = lambda n, **kw: json.dumps({"model": {"id": "m", "providerID": "p"}, "time": {"created": T}, "tokens": {"input": n, "output": 1}, **kw})
+    row = lambda *v: ("insert into session_message values(?, ?, ?, ?, ?, 1)", *v)
+    total = lambda table, s, n, model=None: (f"insert into {table}(id, time_created, cost, tokens_input, tokens_output, tokens_cache_read, tokens_cache_write, model) values(?, ?, 0.5, ?, 0, 0, 0, ?)", s, T, n, model)
+    fork = lambda s, side, at: ("insert into session_v2(id, fork_session_id, fork_boundary) values(?, 'up', ?)", s, json.dumps({"type": side, "messageID": at}))
+    sums = "time_created int, cost real, tokens_input int, tokens_output int, tokens_cache_read int, tokens_cache_write int, model text"
+    db(
+        tmp_path, "opencode.db", ("create table session_message(id text, session_id text, type text, seq int, data text, time_created int)",), (f"create table session_v2(id text, fork_session_id text, fork_boundary text, {sums})",), (f"create table session(id text, {sums})",),
+        row("u1", "up", "assistant", 2, data(1)), row("u2", "up", "assistant", 5, data(2)), row("u3", "up", "user", 6, data(99)),
+        fork("thru", "through", "u2"), row("t1", "thru", "assistant", 2, data(1)), row("t2", "thru", "assistant", 5, data(2)), row("t3", "thru", "assistant", 6, data(4)), row("t4", "thru", "assistant", None, data(5)),
+        fork("bef", "before", "u2"), row("b1", "bef", "assistant", 2, data(1)), row("b3", "bef", "assistant", 3, data(8)),
+        fork("lost", "through", "gone"), row("l1", "lost", "assistant", 2, data(1)),
+        row("c1", "comp", "compaction", 1, data(16, status="completed")), row("c2", "comp", "compaction", 2, data(32, status="failed")),
+        row("c3", "both", "compaction", 1, data(64, status="completed")), total("session_v2", "both", 200, '{"id":"mm","providerID":"pp"}'), total("session", "both", 300),
+        total("session_v2", "up", 400), total("session", "alone", 500, "plain"),
+    )
+    db(tmp_path, "older.db", (f"create table session(id text, {sums})",), total("session", "v1", 600))
+    said = {("up", "u1", 1), ("up", "u2", 2), ("thru", "t3", 4), ("thru", "t4", 5), ("bef", "b3", 8), ("lost", "l1", 1), ("comp", "c1", 16)}
+    assert {(r.session_id, r.message_id, r.input_tokens) for r in run(spark, "opencode", tmp_path)} == said | {("both", "c3", 64)}
+    got = agents.read_all(spark, {"opencode": str(tmp_path)}, aggregates=True).collect()
+    assert {(r.session_id, r.message_id, r.input_tokens) for r in got} == said | {("both", "session:both", 200), ("alone", "session:alone", 500)}
+    assert {(r.model, r.provider) for r in got} == {("m", "p"), ("mm", "pp"), ("plain", "unknown")} and len(got) == len(said) + 2
+
+
 def enc(number, value):
     def v(x):
         out = b""

@@ -56,7 +56,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         a.since, a.until, a.last, a.today, a.project, a.mode, a.order, a.timezone, a.week_start, a.session_length, int(time.time() * 1000) if a.now is None else a.now,
         a.active, a.recent, limit, parse_aliases(a.aliases), a.instances, not a.no_cost,
     )
-    usage = read_all(spark, dict(s.split("=", 1) for s in a.source))
+    all_time = a.since is None and a.until is None and a.last is None
+    usage = read_all(spark, dict(s.split("=", 1) for s in a.source), aggregates=a.report == "session" and all_time)
     price = spark.read.schema(PRICE).json(a.prices) if a.prices else spark.createDataFrame([], PRICE)
     if a.report in UNITS:
         out = reports.periods(usage, price, UNITS[a.report], o)

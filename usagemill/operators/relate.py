@@ -59,7 +59,7 @@ def replayed_prefix(child: DataFrame, parent: DataFrame, pair: str, order: str,
     return c.join(p, [pair, "pos"], "left").withColumn("replayed", F.min(same).over(upto) == 1).drop("_parent")
 
 
-def copied_history(rows: DataFrame, forks: DataFrame, session: str, seq: str) -> DataFrame:
+def copied_history(rows: DataFrame, forks: DataFrame, session: str | list[str], seq: str) -> DataFrame:
     """rows of forked sessions beyond the point they were copied up to; forks has (session, cutoff)."""
     joined = rows.join(forks, session, "left")
     return joined.filter(F.col("cutoff").isNull() | (F.col(seq) > F.col("cutoff"))).drop("cutoff")

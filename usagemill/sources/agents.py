@@ -326,31 +326,81 @@ def cline(spark: SparkSession, path: str) -> DataFrame:
     return dated(used(a.unionByName(b), cost_only=True))
 
 
-_MESSAGE = "id string, sessionID string, role string, providerID string, modelID string, time struct<created string, completed string>, tokens struct<input string, output string, reasoning string, total string, cache struct<read string, write string>>, cost double"
+_MESSAGE = "id string, sessionID string, role string, providerID string, modelID string, model string, status string, time struct<created string, completed string>, tokens struct<input string, output string, reasoning string, total string, cache struct<read string, write string>>, cost double"
 
 
 def _open_message(df: DataFrame, agent: str, session: Column, ident: Column, when: Column) -> DataFrame:
-    t = "j.tokens"
+    t, nested = "j.tokens", embedded(c("j.model"), "id string, providerID string, provider_id string")
     o, extra = cost.fill_total(n(f"{t}.output"), n(f"{t}.reasoning"), n(f"{t}.input") + n(f"{t}.output") + n(f"{t}.reasoning") + n(f"{t}.cache.read") + n(f"{t}.cache.write"), n(f"{t}.total"))
-    return conform(df, agent, session_id=session, message_id=ident, ts_ms=when, model=c("j.modelID"), provider=c("j.providerID"), input_tokens=n(f"{t}.input"), output_tokens=o, extra_total_tokens=extra, cache_read_tokens=n(f"{t}.cache.read"), cache_creation_tokens=n(f"{t}.cache.write"), cost_usd=c("j.cost"), src_file=c("src_file"), seq=c("seq"))
+    return conform(df, agent, session_id=session, message_id=ident, ts_ms=when, model=F.coalesce(non_empty(nested["id"]), c("j.modelID")), provider=F.coalesce(non_empty(nested["providerID"]), non_empty(nested["provider_id"]), c("j.providerID")), input_tokens=n(f"{t}.input"), output_tokens=o, extra_total_tokens=extra, cache_read_tokens=n(f"{t}.cache.read"), cache_creation_tokens=n(f"{t}.cache.write"), cost_usd=c("j.cost"), src_file=c("src_file"), seq=c("seq"))
 
 
-def _open_database(spark: SparkSession, path: str, table: str, created: str) -> DataFrame:
-    rows = read_table(spark, path, table, f"id string, session_id string, data string, {created} bigint, src_file string").withColumnRenamed("data", "raw")
+def _open_database(spark: SparkSession, path: str, table: str, created: str, more: str = "") -> DataFrame:
+    rows = read_table(spark, path, table, f"id string, session_id string, data string, {created} bigint, {more}src_file string").withColumnRenamed("data", "raw").withColumnRenamed("seq", "place")
     rows = rows.withColumn("seq", F.coalesce(c(created), lit(0))).withColumn("modified_at", lit(None).cast("timestamp"))
     return parsed(rows, _MESSAGE).filter("j.tokens is not null")
 
 
-@reader("opencode")
-def opencode(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of databases (both tables) and files; the database goes first. Forked history counts once."""
+def _fork_cutoffs(spark: SparkSession, path: str) -> DataFrame:
+    """(src_file, session_id, cutoff): the last place of a fork's rows that is its parent's history.
+
+    The boundary names a message of the parent; copies have new ids but keep
+    their place. A boundary that can't be found gives no cut-off.
+    """
+    rows = read_table(spark, path, "session_message", "id string, session_id string, seq bigint, src_file string").filter("seq is not null")
+    below = F.max("seq").over(Window.partitionBy("src_file", "session_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1))
+    marks = rows.select("src_file", c("session_id").alias("up"), c("id").alias("mark"), c("seq").alias("through"), below.alias("before"))
+    forks = read_table(spark, path, "session_v2", "id string, fork_session_id string, fork_boundary string, src_file string").withColumn("b", embedded(c("fork_boundary"), "type string, messageID string"))
+    forks = forks.select("src_file", c("id").alias("session_id"), c("fork_session_id").alias("up"), c("b.type").alias("side"), c("b.messageID").alias("mark"))
+    cutoff = F.when(c("side") == "through", c("through")).when(c("side") == "before", c("before"))
+    return forks.join(marks, ["src_file", "up", "mark"]).groupBy("src_file", "session_id").agg(F.min(cutoff).alias("cutoff")).filter("cutoff is not null")
+
+
+def _open_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Running sums of whole sessions; the older table counts in databases that have session_message."""
+    counters = ("input", "output", "reasoning", "cache_read", "cache_write")
+    schema = "id string, model string, time_created bigint, cost double, " + ", ".join(f"tokens_{k} bigint" for k in counters) + ", src_file string"
+    newer = read_table(spark, path, "sqlite_master", "name string, src_file string").filter("name = 'session_message'").select("src_file").distinct()
+    text = non_empty(c("model"))
+    v = F.try_parse_json(text)
+    at = lambda *names: non_empty(F.coalesce(*[F.try_variant_get(v, f"$.{x}", "string") for x in names]))
+    is_object = text.startswith("{") & v.isNotNull()
+    named = F.when(is_object, at("id", "modelID")).when(text.startswith('"') & v.isNotNull(), F.coalesce(non_empty(F.try_variant_get(v, "$", "string")), text)).otherwise(text)
+    maker = F.when(is_object & named.isNotNull(), at("providerID", "provider"))
+    z = lambda k: F.greatest(F.coalesce(c(f"tokens_{k}"), lit(0)), lit(0))
     parts = []
-    for name in ("message", "session_message"):
-        df = _open_database(spark, path, name, "time_created")
-        parts.append(_open_message(df, "opencode", c("session_id"), c("id"), F.coalesce(recorded_ms(c("j.time.created")), recorded_ms(c("time_created").cast("string")))))
+    for df in (read_table(spark, path, "session_v2", schema), read_table(spark, path, "session", schema).join(newer, "src_file", "left_semi")):
+        df = df.filter("id is not null")
+        parts.append(used(conform(df, "opencode", session_id=c("id"), message_id=F.concat(lit("session:"), c("id")), ts_ms=recorded_ms(c("time_created").cast("string")), model=F.coalesce(named, lit("unknown")), provider=F.coalesce(maker, lit("unknown")), input_tokens=z("input"), output_tokens=z("output"), extra_total_tokens=z("reasoning"), cache_read_tokens=z("cache_read"), cache_creation_tokens=z("cache_write"), cost_usd=c("cost"), src_file=c("src_file"), seq=lit(0)), cost_only=True))
+    return dated(dedupe.with_priority(parts, [c("message_id")], "seq"))
+
+
+@reader("opencode")
+def opencode(spark: SparkSession, path: str, aggregates: bool = False) -> DataFrame:
+    """Messages of databases (both tables) and files; the database goes first. A fork's copy of its parent's history is left out.
+
+    Finished compactions count beside the messages. With aggregates, sessions
+    without message usage give their running sums, which include compactions;
+    sums can't be cut by time, so only a session report over all time takes them.
+    Rows of session_message without a type are messages.
+    """
+    old = _open_database(spark, path, "message", "time_created")
+    new = _open_database(spark, path, "session_message", "time_created", "type string, seq bigint, ").withColumn("place", F.coalesce("place", lit(2**63 - 1)))
+    new = relate.copied_history(new, _fork_cutoffs(spark, path), ["src_file", "session_id"], "place")
+    kind = F.coalesce("type", lit("assistant"))
+    compacted = new.filter((kind == "compaction") & (c("j.status") == "completed"))
     files = parsed(documents(spark, path, "*.json"), _MESSAGE).filter("j.tokens is not null")
+    when = F.coalesce(recorded_ms(c("j.time.created")), recorded_ms(c("time_created").cast("string")))
+    parts = [_open_message(df, "opencode", c("session_id"), c("id"), when) for df in (old, new.filter(kind == "assistant"), compacted)]
     parts.append(_open_message(files, "opencode", c("j.sessionID"), F.coalesce("j.id", stem()), recorded_ms(c("j.time.created"))))
-    return dated(used(dedupe.with_priority(parts, [non_empty(c("message_id"))], "seq"), cost_only=True))
+    parts = [dated(used(df, cost_only=True)).withColumn("_compaction", lit(i == 2)) for i, df in enumerate(parts)]
+    rows = dedupe.with_priority(parts, [non_empty(c("message_id"))], "seq")
+    if not aggregates:
+        return rows.drop("_compaction")
+    said = ~c("_compaction") & (total_tokens() > 0)
+    whole = relate.not_counted(_open_sessions(spark, path), rows.filter(said), ["session_id"])
+    rest = relate.not_counted(rows.filter(~said), whole, ["session_id"])
+    return rows.filter(said).unionByName(rest).drop("_compaction").unionByName(whole)
 
 
 @reader("kilo")
@@ -419,9 +469,12 @@ def antigravity(spark: SparkSession, path: str) -> DataFrame:
     return dated(used(conform(calls, "antigravity", session_id=stem(), message_id=c("call"), ts_ms=c("ms"), model=c("model"), input_tokens=c("input"), output_tokens=c("output"), cache_creation_tokens=c("cache_creation"), cache_read_tokens=c("cache_read"), src_file=c("src_file"), seq=c("seq"))))
 
 
-def read_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """All named sources under one another; opencode rows of sessions and days that claude has counted are left out."""
-    parts = {name: READERS[name](spark, path) for name, path in paths.items()}
+def read_all(spark: SparkSession, paths: dict[str, str], aggregates: bool = False) -> DataFrame:
+    """All named sources under one another; opencode rows of sessions and days that claude has counted are left out.
+
+    aggregates also takes running sums of whole sessions, where there's nothing finer.
+    """
+    parts = {name: opencode(spark, path, aggregates) if name == "opencode" else READERS[name](spark, path) for name, path in paths.items()}
     if "claude" in parts and "opencode" in parts:
         mine = parts["opencode"]
         through = mine.filter("provider = 'claude-agent'")
