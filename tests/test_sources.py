@@ -206,6 +206,24 @@ def test_antigravity(spark, tmp_path):
     assert wire.generation(b"\xff\xff") is None and wire.step(None)["model"] is None
 
 
+def test_antigravity_calls_by_any_id(spark, tmp_path):
+    use = lambda n, **ids: enc(2, n) + enc(3, 1) + b"".join(enc({"message": 7, "response": 11, "provider": 12}[k], v.encode()) for k, v in ids.items())
+    when = enc(1, T // 1000)
+    gen = lambda u, more=b"", steps=b"": enc(1, enc(4, u) + enc(19, b"m") + enc(9, enc(4, when)) + more) + steps
+    step = lambda u, more=b"": enc(8, when) + enc(9, u) + more
+    again = lambda n, u: enc(n, enc(2, u))
+    db(
+        tmp_path, "g.db", ("create table gen_metadata(idx int, data blob)",), ("create table steps(idx int, metadata blob)",),
+        ("insert into gen_metadata values(0, ?)", gen(use(10, response="r", message="a"))), ("insert into steps values(0, ?)", step(use(12, message="a", provider="p"))), ("insert into steps values(1, ?)", step(use(11, provider="p"))),
+        ("insert into gen_metadata values(1, ?)", gen(use(20), steps=enc(2, 2) + enc(2, bytes([3])))), ("insert into steps values(2, ?)", step(use(21))), ("insert into steps values(3, ?)", step(use(19))),
+        ("insert into gen_metadata values(4, ?)", gen(use(30, response="s"), again(17, use(30, response="s")) + again(17, use(31, response="t")) + again(17, use(32)))), ("insert into steps values(4, ?)", step(use(33), again(28, use(33)) + again(28, b"\xff"))),
+    )
+    rows = run(spark, "antigravity", tmp_path)
+    assert sorted(r.input_tokens for r in rows) == [12, 21, 30, 31, 32, 33]
+    assert {r.input_tokens: r.message_id for r in rows if r.message_id.startswith("i:")} == {12: "i:r", 30: "i:s", 31: "i:t"}
+    assert {r.model for r in rows if r.input_tokens != 33} == {"m"}
+
+
 def test_line_order_compression_and_pushdown(spark, tmp_path):
     put(tmp_path, "a.jsonl", *[{"n": i} for i in range(2000)])
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")

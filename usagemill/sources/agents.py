@@ -7,6 +7,7 @@ the agent's own rule for repeated rows applied. Prices play no part here.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from usagemill.functions.lenient import embedded, lenient_count, non_empty
 from usagemill.functions.names import decoded, display_model, project_of, session_of
 from usagemill.operators import cost, dedupe, ordered, relate
 from usagemill.schema import conform, total_tokens
+from usagemill.session import cut
 from usagemill.sources import wire
 from usagemill.sources.sqlite import read_table
 from usagemill.sources.text import documents, lines, one_source_per_rollout, parent, parsed, recorded_ms, stem
@@ -440,18 +442,29 @@ def zcode(spark: SparkSession, path: str) -> DataFrame:
     return dated(used(conform(df, "zcode", session_id=c("session_id"), project=c("directory"), message_id=c("id"), ts_ms=recorded_ms(c("started_at")), model=c("model_id"), provider=c("provider_id"), input_tokens=i - cached - created, output_tokens=o, extra_total_tokens=extra, cache_read_tokens=cached, cache_creation_tokens=created, version=c("version"), src_file=c("src_file"), seq=lit(0))))
 
 
-_WIRE = "src_file string, idx bigint, rank int, id string, model string, ms bigint, input bigint, cache_creation bigint, cache_read bigint, output bigint"
+_WIRE = "src_file string, idx bigint, rank int, key string, ids array<string>, id string, id_rank int, model string, ms bigint, input bigint, cache_creation bigint, cache_read bigint, output bigint, reasoning bigint, total bigint"
+_ID_RANK = {"message": 1, "provider_message": 2, "response": 3}
 
 
 def _decode(rank: int, one):  # noqa: ANN001, ANN202
+    """A row for the usage of each blob and for that of each retry. A usage without ids goes by its steps, if any."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for src, idx, blob in zip(f["src_file"], f["idx"], f["data"]):
-                u = one(bytes(blob) if blob is not None else None)
-                if u and any(u.get(k) for k in ("input", "total_output", "visible_output", "cache_read", "cache_creation")):
-                    out = u.get("total_output") or (u.get("visible_output") or 0) + (u.get("reasoning") or 0)
-                    rows.append((src, idx, rank, u.get("id"), u.get("model"), u.get("ms"), u.get("input") or 0, u.get("cache_creation") or 0, u.get("cache_read") or 0, out))
+                whole = one(bytes(blob) if blob is not None else None)
+                if not whole:
+                    continue
+                session = PurePosixPath(src).stem
+                named = [f"step:{session}:{i}" for i in (whole.get("steps") or [] if rank else [idx])]
+                for k, u in enumerate([whole, *whole["retries"]]):
+                    if any(u.get(x) for x in wire.USAGE_FIELDS):
+                        visible, reasoning = u.get("visible_output") or 0, u.get("reasoning") or 0
+                        total = max(u.get("total_output") or 0, visible + reasoning)
+                        output = max(visible, total - reasoning)
+                        key = f"{src}:{rank}:{idx}" + (f":{k}" if k else "")
+                        rows.append((src, idx, rank, key, u["ids"] or (named if k == 0 else []), u.get("id"), _ID_RANK.get(u.get("id_kind"), 0), whole["model"], whole["ms"], u.get("input") or 0, u.get("cache_creation") or 0, u.get("cache_read") or 0, output, max(reasoning, total - output), total))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in _WIRE.split(", ")])
             yield out.astype({"ms": "Int64"})
 
@@ -460,13 +473,18 @@ def _decode(rank: int, one):  # noqa: ANN001, ANN202
 
 @reader("antigravity")
 def antigravity(spark: SparkSession, path: str) -> DataFrame:
-    """Generations and steps name the same call by any of several ids; each call counts once, at its largest."""
+    """Generations, steps and their retries name the same call by any of several ids; each call counts once, each counter at its largest."""
     gen = read_table(spark, path, "gen_metadata", "idx bigint, data binary, src_file string").mapInPandas(_decode(1, wire.generation), _WIRE)
     step = read_table(spark, path, "steps", "idx bigint, metadata binary, src_file string").withColumnRenamed("metadata", "data").mapInPandas(_decode(0, wire.step), _WIRE)
-    rows = ordered.carry_forward(gen.unionByName(step), ["src_file", "rank"], ["idx"], "model", "carried")
-    call = F.coalesce(F.concat(lit("i:"), c("id")), F.concat_ws(":", lit("r"), "src_file", c("rank").cast("string"), c("idx").cast("string")))
-    calls = rows.groupBy(call.alias("call")).agg(F.min("src_file").alias("src_file"), F.max_by("carried", "rank").alias("model"), F.max("ms").alias("ms"), F.min("idx").alias("seq"), *[F.max(k).alias(k) for k in ("input", "cache_creation", "cache_read", "output")])
-    return dated(used(conform(calls, "antigravity", session_id=stem(), message_id=c("call"), ts_ms=c("ms"), model=c("model"), input_tokens=c("input"), output_tokens=c("output"), cache_creation_tokens=c("cache_creation"), cache_read_tokens=c("cache_read"), src_file=c("src_file"), seq=c("seq"))))
+    rows = cut(gen.unionByName(step), "calls")
+    same = relate.shared_identities(rows.select("key", F.explode("ids").alias("ident")), "key", "ident")
+    rows = ordered.carry_forward(rows, ["src_file", "rank"], ["idx"], "model", "carried").join(same, "key", "left")
+    calls = rows.groupBy(F.coalesce("component", "key").alias("call")).agg(
+        F.min("src_file").alias("src_file"), F.max_by("id", F.struct("id_rank", "rank", -c("idx"))).alias("id"), F.max_by("carried", F.struct(c("carried").isNotNull(), "rank")).alias("model"), F.max("ms").alias("ms"), F.min("idx").alias("seq"),
+        *[F.max(k).alias(k) for k in ("input", "cache_creation", "cache_read", "output", "reasoning", "total")],
+    )
+    ident = F.coalesce(F.concat(lit("i:"), c("id")), F.concat(lit("r:"), c("call")))
+    return dated(used(conform(calls, "antigravity", session_id=stem(), message_id=ident, ts_ms=c("ms"), model=c("model"), input_tokens=c("input"), output_tokens=F.greatest(c("total"), c("output") + c("reasoning")), cache_creation_tokens=c("cache_creation"), cache_read_tokens=c("cache_read"), src_file=c("src_file"), seq=c("seq"))))
 
 
 def read_all(spark: SparkSession, paths: dict[str, str], aggregates: bool = False) -> DataFrame:
