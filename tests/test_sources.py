@@ -196,6 +196,18 @@ def enc(number, value):
     return v(number << 3) + v(value) if isinstance(value, int) else v(number << 3 | 2) + v(len(value)) + value
 
 
+def test_gemini_stats_and_single_records(spark, tmp_path):
+    models = {"a": {"tokens": {"prompt": 10, "candidates": 3, "cached": 4, "thoughts": 2, "tool": 1, "total": 16}}, "b": {"tokens": {"input": 7.9, "total": 9}}, "idle": {"tokens": {"prompt": 0}}, "odd": 5}
+    ts = lambda s: {"timestamp": f"2025-01-01T00:00:0{s}Z"}
+    put(tmp_path, "x.jsonl", {"session_id": "s", "model": "hint"}, {"type": "result", **ts(1), "stats": {"models": models}}, {**ts(2), "result": {"stats": {"input_tokens": 5, "output_tokens": 1}}}, {"type": "gemini", "id": "1", **ts(3), "tokens": {"input": 2}}, {**ts(4), "stats": {"models": {"idle": {"tokens": {}}}, "total_tokens": 6}})
+    put(tmp_path, "one.json", {"type": "gemini", "sessionId": "t", "id": "2", "model": "m", **ts(5), "tokens": {"input": 8, "output": 1}})
+    put(tmp_path, "sum.json", {**ts(6), "stats": {"input": 11, "cached": 20}})
+    put(tmp_path, "new.json", {"stats": {"input": 12}})
+    rows = run(spark, "gemini", tmp_path)
+    got = sorted((r.session_id, r.model, r.input_tokens, r.output_tokens, r.cache_read_tokens, r.extra_total_tokens) for r in rows)
+    assert got == [("new", "unknown", 12, 0, 0, 0), ("s", "a", 7, 5, 4, 0), ("s", "b", 7, 2, 0, 0), ("s", "hint", 0, 6, 0, 0), ("s", "hint", 2, 0, 0, 0), ("s", "hint", 5, 1, 0, 0), ("sum", "unknown", 0, 0, 20, 0), ("t", "m", 8, 1, 0, 0)]
+
+
 def test_antigravity(spark, tmp_path):
     u = enc(2, 100) + enc(3, 30) + enc(5, 7) + enc(11, b"resp-1")
     blob = enc(1, enc(4, u) + enc(19, b"model-x") + enc(9, enc(4, enc(1, T // 1000) + enc(2, 500_000_000))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagemill.functions.dates import report_date, strict_ms
-from usagemill.functions.lenient import embedded, lenient_count, non_empty
+from usagemill.functions.lenient import embedded, lenient_count, non_empty, sound_elements
 from usagemill.functions.names import decoded, display_model, project_of, session_of
 from usagemill.operators import cost, dedupe, ordered, relate
 from usagemill.schema import conform, total_tokens
@@ -193,20 +193,63 @@ def _plain_model(name: str) -> Column:
     return F.regexp_replace(name, r"-1m(?:-internal)?$", "")
 
 
+_GEMINI = {
+    "input": ("input", "prompt", "input_tokens", "prompt_tokens"), "output": ("output", "candidates", "output_tokens", "candidates_tokens"), "cached": ("cached", "cached_tokens"),
+    "thoughts": ("thoughts", "reasoning", "thoughts_tokens", "reasoning_tokens"), "tool": ("tool", "tool_tokens"), "total": ("total", "total_tokens"),
+}
+_GEMINI_TOKENS = ", ".join(f"{x} string" for names in _GEMINI.values() for x in names)
+_GEMINI_RECORD = "sessionId string, session_id string, projectHash string, id string, timestamp string, created_at string, startTime string, lastUpdated string, type string, model string, messages string, tokens string, stats string, result string"
+
+
+def _gemini_counts(tokens: Column) -> dict[str, Column]:
+    """The counters of a token object, whatever they are called; fractions are cut off."""
+
+    def count(x: Column) -> Column:
+        d = x.try_cast("double")
+        return F.when(d.isNotNull() & ~F.isnan(d), F.greatest(lenient_count(x), F.when(d.between(0, 9e18), d.cast("bigint"))))
+
+    return {k: F.coalesce(*[count(tokens[x]) for x in names], lit(0).cast("bigint")) for k, names in _GEMINI.items()}
+
+
+def _gemini_stats(df: DataFrame, hint: Column) -> DataFrame:
+    """df with a row (model, t) for each model of stats or result.stats, or one for all of it if no model has usage."""
+    # As one text first: a part of another shape then costs that part alone.
+    text = F.coalesce("j.stats", F.get_json_object("j.result", "$.stats"))
+    s = df.filter(text.startswith("{")).withColumn("s", embedded(text, f"models string, {_GEMINI_TOKENS}")).withColumn("hint", hint)
+    models = F.transform(F.map_entries(embedded(c("s.models"), "map<string, string>")), lambda e: F.struct(e["key"].alias("model"), embedded(F.get_json_object(e["value"], "$.tokens"), _GEMINI_TOKENS).alias("t")))
+    some = lambda e: (F.trim(e["model"]) != "") & (F.greatest(*_gemini_counts(e["t"]).values()) > 0)
+    alone = F.array(F.struct(F.coalesce("hint", lit("unknown")).alias("model"), F.struct(*[c(f"s.{x.split()[0]}").alias(x.split()[0]) for x in _GEMINI_TOKENS.split(", ")]).alias("t")))
+    per = s.withColumn("per", F.filter(models, some))
+    return per.select("*", F.explode(F.when(F.size("per") > 0, c("per")).otherwise(alone)).alias("e")).withColumn("model", c("e.model")).withColumn("t", c("e.t"))
+
+
 @reader("gemini")
 def gemini(spark: SparkSession, path: str) -> DataFrame:
-    tokens = "tokens struct<input string, output string, cached string, thoughts string, tool string, total string>"
-    rows = parsed(lines(spark, path, ["sessionId", '"tokens"'], "*.jsonl"), f"sessionId string, projectHash string, id string, timestamp string, type string, model string, {tokens}")
-    rows = ordered.carry_forward(rows.withColumn("head", c("j.sessionId")).withColumn("hash", c("j.projectHash")), ["src_file"], ["seq"], "head", "session")
-    rows = ordered.carry_forward(rows, ["src_file"], ["seq"], "hash", "project").filter("j.type = 'gemini' and j.tokens is not null")
-    whole = parsed(documents(spark, path, "*.json"), f"sessionId string, projectHash string, messages array<struct<id string, timestamp string, type string, model string, {tokens}>>")
-    whole = whole.select("src_file", "j", F.posexplode("j.messages").alias("seq", "m")).filter("m.type = 'gemini' and m.tokens is not null")
-    shape = lambda df, at, session, project: df.select("src_file", c("seq").cast("bigint").alias("seq"), session.alias("session"), project.alias("project"), *[c(f"{at}.{x}").alias(x) for x in ("id", "timestamp", "model", "tokens")])
-    union = shape(rows, "j", c("session"), c("project")).unionByName(shape(whole, "m", c("j.sessionId"), c("j.projectHash")))
-    last = dedupe.keep_last(union, [c("src_file"), c("id")], "seq")
-    i, cached, thoughts = n("tokens.input") + n("tokens.tool"), n("tokens.cached"), n("tokens.thoughts")
-    inside = n("tokens.total") == i + n("tokens.output") + thoughts
-    return dated(used(conform(last, "gemini", session_id=F.coalesce("session", stem()), project=c("project"), message_id=c("id"), ts_ms=recorded_ms(c("timestamp")), model=c("model"), input_tokens=F.when(inside, F.greatest(i - cached, lit(0))).otherwise(i), output_tokens=n("tokens.output") + thoughts, cache_read_tokens=cached, src_file=c("src_file"), seq=c("seq"))))
+    """Messages of chats, single records, and stats of a session per model or in one."""
+    rows = parsed(lines(spark, path, ["sessionId", "session_id", '"tokens"', '"stats"', '"model"'], "*.jsonl"), _GEMINI_RECORD)
+    for name, value in (("session", F.coalesce(non_empty(c("j.sessionId")), non_empty(c("j.session_id")))), ("project", c("j.projectHash")), ("model", non_empty(c("j.model")))):
+        rows = ordered.carry_forward(rows.withColumn("_new", value), ["src_file"], ["seq"], "_new", name).drop("_new")
+    whole = parsed(documents(spark, path, "*.json"), _GEMINI_RECORD).withColumn("session", F.coalesce(non_empty(c("j.sessionId")), non_empty(c("j.session_id")))).withColumn("project", c("j.projectHash")).withColumn("model", non_empty(c("j.model")))
+    chat, direct = F.coalesce(F.ltrim("j.messages").startswith("["), lit(False)), F.coalesce(c("j.type") == "gemini", lit(False))
+    said = whole.filter(chat).drop("seq").select("*", F.posexplode(sound_elements(c("j.messages"), "id string, timestamp string, created_at string, type string, model string, tokens string")).alias("seq", "m")).filter("m.type = 'gemini' and m.tokens is not null")
+    said = said.withColumn("model", c("m.model"))
+    mtime = F.unix_millis("modified_at")
+    at = lambda *names: F.coalesce(*[recorded_ms(c(x)) for x in names], mtime)
+    shape = lambda df, ident, ms, overlap: df.select("src_file", c("seq").cast("bigint").alias("seq"), "session", "project", ident.alias("id"), ms.alias("ms"), "model", "t", lit(overlap).alias("overlap"))
+    record = lambda df: df.filter(direct & c("j.tokens").isNotNull()).withColumn("t", embedded(c("j.tokens"), _GEMINI_TOKENS))
+    messages = shape(said.withColumn("t", embedded(c("m.tokens"), _GEMINI_TOKENS)), c("m.id"), at("m.timestamp", "m.created_at", "j.startTime", "j.lastUpdated"), False)
+    for df in (record(rows), record(whole.filter(~chat))):
+        messages = messages.unionByName(shape(df, c("j.id"), at("j.timestamp", "j.created_at"), False))
+    union = dedupe.keep_last(messages, [c("src_file"), c("id")], "seq")
+    for df in (rows.filter(~direct), whole.filter(~chat & ~direct)):
+        union = union.unionByName(shape(_gemini_stats(df, c("model")), lit(None).cast("string"), at("j.timestamp"), True))
+    k = _gemini_counts(c("t"))
+    i, cached = k["input"] + k["tool"], k["cached"]
+    # The input of stats includes the cached part; that of messages only where their total says so.
+    inside = c("overlap") | (k["total"] == i + k["output"] + k["thoughts"])
+    fresh = F.when(inside, F.when(c("overlap"), F.greatest(k["input"] - cached, lit(0)) + k["tool"]).otherwise(F.greatest(i - cached, lit(0)))).otherwise(i)
+    o, extra = cost.fill_total(k["output"], lit(0).cast("bigint"), fresh + k["output"] + cached + k["thoughts"], k["total"])
+    return dated(used(conform(union, "gemini", session_id=F.coalesce("session", stem()), project=c("project"), message_id=c("id"), ts_ms=c("ms"), model=c("model"), input_tokens=fresh, output_tokens=o + k["thoughts"], extra_total_tokens=extra, cache_read_tokens=cached, src_file=c("src_file"), seq=c("seq"))))
 
 
 @reader("qwen")
