@@ -32,6 +32,14 @@ def random_rows(seed, n=400, gap=100):
     return [(rng.randrange(6), f"s{min(3, int(rng.expovariate(1)))}", f"p{rng.randrange(2)}", rng.randrange(-3000, 9000), gap) for _ in range(n)]
 
 
+def test_events_without_a_batch_count(spark):
+    rows = random_rows(3)
+    some = [(None if i % 3 == 0 else r[0], *r[1:]) for i, r in enumerate(rows)]
+    none = [(None, *r[1:]) for r in rows]
+    for given in (some, none, []):
+        assert found(sessionise(spark.createDataFrame(given, SCHEMA), ["session_id", "project"], "batch_id", 3)) == brute(given)
+
+
 def test_increments_give_what_one_pass_gives(spark):
     for seed in (1, 2):
         rows = random_rows(seed)

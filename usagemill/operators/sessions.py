@@ -18,6 +18,7 @@ Defined results
                               different instants only
     null time or null key     the event is not counted
     null gap                  the default gap
+    null batch                the event comes with the first batches
     late events               may start, extend or bridge stored sessions
     empty batch               leaves the table as it is
 """
@@ -142,7 +143,7 @@ class SessionTable:
         """Remove folders that the current version doesn't name."""
         p, fs = self._fs(self.path)
         used = set(self.where.values())
-        for s in fs.listStatus(p):
+        for s in fs.listStatus(p) if self.where else ():
             if s.getPath().getName().startswith("v") and s.getPath().getName() not in used:
                 delete_path(self.spark, s.getPath().toString())
 
@@ -168,10 +169,9 @@ def sessionise(events: DataFrame, keys: list[str], batch: str, increments: int =
     """
     spark = events.sparkSession
     bounds = bounds or events.agg(F.min(batch), F.max(batch)).first()
-    if bounds[0] is None:
-        return SessionTable(spark, keys)
-    span = max(1, -(-(bounds[1] - bounds[0] + 1) // increments))
-    step = F.floor((F.col(batch) - bounds[0]) / span).cast("int")
+    least, most = bounds if bounds[0] is not None else (0, 0)
+    span = max(1, -(-(most - least + 1) // increments))
+    step = F.coalesce(F.floor((F.col(batch) - least) / span).cast("int"), F.lit(0))
     local = cut(local_sessions(events.withColumn("_step", step), keys, "time_ms", "gap_ms", ["_step"]), "local")
     table = SessionTable(spark, keys, buckets=max(BUCKETS, local.count() // ROWS_PER_BUCKET))
     for i in range(increments):
