@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from usagemill.operators.delivery import SeenMessages, identify, merge_ranges, number_ranges, response_identity, sequence, superfluous, usage_identity
+from usagemill.operators.delivery import SeenMessages, identify, merge_ranges, number_ranges, response_identity, sequence, superfluous, superfluous_seen, usage_identity
+from usagemill.plans.data_queries import QUERIES
 
 SCHEMA = "record_id bigint, requestId string, sessionId string, message struct<id string>, keep_id string"
 
@@ -89,6 +90,18 @@ def test_seen_messages_accept_each_once(spark, tmp_path):
         assert all(a[1] + 1 < b[0] for a, b in zip(mine, mine[1:]))
 
 
+def test_found_by_what_was_seen(spark, data, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([f"msg_{rng.randrange(20):016x}", f"m-{rng.randrange(9)}", "odd", None]), rng.choice(["a", None]), rng.choice(["s", "t"])) for _ in range(300)]
+    for given in (rows, rows[:2], []):
+        assert sorted((r.keep_id, r.drop_id) for r in superfluous_seen(usage_identity(usage(spark, given))).collect()) == sorted(brute(given))
+    real, calls = SeenMessages.accept, []
+    monkeypatch.setattr(SeenMessages, "accept", lambda self, df: calls.append(1) or real(self, df))
+    got = {(r.keep_id, r.drop_id) for r in QUERIES["p5_found"](spark, data).filter("table_name = 'claude_usage'").collect()}
+    plain = superfluous(usage_identity(spark.read.parquet(f"{data}/claude_usage.parquet")))
+    assert got == {(r.keep_id, r.drop_id) for r in plain.collect()} and len(calls) == 6
+
+
 def test_empty(spark):
     assert superfluous(usage_identity(usage(spark, []))).count() == 0
     codex = spark.createDataFrame([], "record_id bigint, payload struct<response_id string>")

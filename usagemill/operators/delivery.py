@@ -167,6 +167,24 @@ class SeenMessages:
         self.version += 1
 
 
+def superfluous_seen(rows: DataFrame, deliveries: int = 3) -> DataFrame:
+    """superfluous by the ranges of what was seen, with the rows handed over in deliveries of rising order.
+
+    The ranges and the lookup say which copies are accepted. As a range can't
+    name the copy accepted, that one is then found by its key.
+    """
+    rows, seen, kept = cut(rows, "identified"), SeenMessages(rows.sparkSession), None
+    lo, hi = rows.agg(F.min("order_id"), F.max("order_id")).first()
+    lo, hi = (lo, hi) if lo is not None else (0, 0)
+    width = (hi - lo) // deliveries + 1
+    for i in range(deliveries):
+        fresh = seen.accept(rows.filter(F.col("order_id").between(lo + i * width, lo + (i + 1) * width - 1)))
+        kept = fresh if kept is None else kept.unionByName(fresh)
+    r, f = rows.alias("r"), kept.alias("f")
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("producer", "number", "scope")]
+    return r.join(f, on).filter(F.col("r.order_id") > F.col("f.order_id")).select(F.col("f.order_id").alias("keep_id"), F.col("r.order_id").alias("drop_id"))
+
+
 def usage_identity(df: DataFrame) -> DataFrame:
     """claude_usage: same message id and request, or same id and session where there's no request."""
     request, session = filled(F.col("requestId")), filled(F.col("sessionId"))
@@ -179,4 +197,4 @@ def response_identity(df: DataFrame) -> DataFrame:
     return identify(df, F.col("payload.response_id"), F.lit(""), F.col("record_id"))
 
 
-__all__ = ["SeenMessages", "filled", "identify", "merge_ranges", "number_ranges", "response_identity", "sequence", "superfluous", "usage_identity"]
+__all__ = ["SeenMessages", "filled", "identify", "merge_ranges", "number_ranges", "response_identity", "sequence", "superfluous", "superfluous_seen", "usage_identity"]

@@ -54,8 +54,8 @@ def _superfluous_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    usage = _superfluous_usage(spark, folder).withColumn("table_name", F.lit("claude_usage"))
-    codex = delivery.superfluous(delivery.response_identity(table(spark, folder, "codex_records"))).withColumn("table_name", F.lit("codex_records"))
+    usage = delivery.superfluous_seen(delivery.usage_identity(table(spark, folder, "claude_usage"))).withColumn("table_name", F.lit("claude_usage"))
+    codex = delivery.superfluous_seen(delivery.response_identity(table(spark, folder, "codex_records"))).withColumn("table_name", F.lit("codex_records"))
     return usage.unionByName(codex).select("table_name", "keep_id", "drop_id")
 
 
