@@ -3,8 +3,10 @@
 Components are found first (pointer doubling over the links), each component is
 then brought together in one place and walked depth-first with node colours.
 A component larger than max_component rows is never brought into one task: its
-paths, depths and subtree sizes come from pointer doubling as well, which gives
-the same columns in log2(depth) distributed steps.
+paths, depths, subtree sizes and depth-first numbers come from pointer doubling
+and sums over siblings, which gives the same columns in log2(depth) distributed
+steps. Siblings are visited in the order of their ids' hashes, which can be cut
+into blocks, so that a node with very many children is spread out too.
 
 Defined results
     blank ids (null, empty, only spaces)    not a node; a blank parent is no link
@@ -22,16 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.operators.skew import lookup_join
-from usagemill.session import cut
+from usagemill.session import cut, cut_counted
 
 MAX_COMPONENT = 100_000
 SCHEMA = "node_id string, parent_id string, kind string, root_id string, depth bigint, node_path string, descendants bigint, enter bigint, closes_cycle boolean"
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
 _ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+SIBLINGS_PER_BLOCK = 50_000
 _FLUSH = 16_384
 _FLUSH_CHARS = 8_000_000
 
@@ -43,9 +46,9 @@ def clean_id(c: Column) -> Column:
 def link_table(df: DataFrame, node: Column, parent: Column) -> DataFrame:
     """(node, parent): one row per node; parent is null for a root."""
     named = df.select(clean_id(node).alias("node"), clean_id(parent).alias("parent")).filter(F.col("node").isNotNull())
-    nodes = cut(named.groupBy("node").agg(F.min("parent").alias("parent")), "nodes")
+    nodes, n = cut_counted(named.groupBy("node").agg(F.min("parent").alias("parent")), "nodes", n=F.count(F.lit(1)))
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    linked = lookup_join(nodes, known, "parent")
+    linked = lookup_join(nodes, known, "parent", total=n["n"])
     return cut(linked.select("node", F.when(F.col("known"), F.col("parent")).alias("parent")), "links")
 
 
@@ -63,10 +66,10 @@ def tree_roots(links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         known = active.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.lit(None).cast("string").alias("root"))
         for part in settled:
             known = known.unionByName(part.select(F.col("node").alias("ptr"), F.col("root").alias("next"), "root"))
-        stepped = cut(lookup_join(active, known, "ptr").select("node", F.col("next").alias("ptr"), "root"), "roots")
+        stepped, open_ = cut_counted(lookup_join(active, known, "ptr", total=left).select("node", F.col("next").alias("ptr"), "root"), "roots", n=F.count_if(F.col("root").isNull()))
         settled.append(stepped.filter(F.col("root").isNotNull()).select("node", "root"))
         active = stepped.filter(F.col("root").isNull()).select("node", "ptr")
-        before, left = left, active.count()
+        before, left = left, open_["n"]
         if before == left:
             break
     out = settled[0]
@@ -158,7 +161,7 @@ def _walk(nodes: list[str], parents: list[str | None], label: str) -> Iterator[t
 
 
 def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (component, node, parent), each component's rows together."""
+    """Batches of (component, node, parent, ...), each component's rows together, siblings in the order of their hashes."""
     schema = _ARROW
     out: list[tuple] = []
     chars = 0
@@ -194,28 +197,68 @@ def _walk_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _double(trees: DataFrame) -> DataFrame:
-    """Paths, depths and subtree sizes of (component, node, parent) by doubling.
+def _subtree_sizes(links: DataFrame) -> DataFrame:
+    """(node, up, below) of (node, up): below counts the nodes of the subtree, itself included.
 
     After k steps anc is the ancestor exactly 2^k links up (null above the
-    root), path and depth cover the nearest 2^k nodes, and below counts the
-    nodes of the subtree within distance 2^k.
+    root), and below counts the nodes of the subtree within distance 2^k.
     """
-    state = cut(trees.select("component", "node", "parent", F.col("parent").alias("anc"), F.col("node").alias("path"), F.lit(0).cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("below")), "paths")
-    while state.filter(F.col("anc").isNotNull()).limit(1).count():
-        ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("path").alias("path2"), F.col("up").alias("up2"))
-        moved = lookup_join(state, ahead, "anc")
+    there = F.count_if(F.col("anc").isNotNull())
+    state, open_ = cut_counted(links.select("node", "up", F.col("up").alias("anc"), F.lit(1).cast("bigint").alias("below")), "sizes", n=there)
+    while open_["n"]:
+        ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
         gained = state.filter(F.col("anc").isNotNull()).groupBy(F.col("anc").alias("node")).agg(F.sum("below").alias("more"))
-        hop = F.when(F.col("anc").isNull(), F.col("up")).otherwise(F.col("up") + F.col("up2") + 1)
-        path = F.when(F.col("anc").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path"))
-        stepped = moved.select("component", "node", "parent", F.col("anc2").alias("anc"), path.alias("path"), hop.alias("up"), "below")
-        stepped = stepped.join(gained, "node", "left")
-        state = cut(stepped.select("component", "node", "parent", "anc", "path", "up", (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")), "paths")
+        stepped = lookup_join(state, ahead, "anc").select("node", "up", F.col("anc2").alias("anc"), "below").join(gained, "node", "left")
+        state, open_ = cut_counted(stepped.select("node", "up", "anc", (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")), "sizes", n=there)
+    return state.select("node", "up", "below")
+
+
+def _steps_in(sized: DataFrame, siblings_per_block: int = SIBLINGS_PER_BLOCK) -> DataFrame:
+    """sized with step: by how much a node's depth-first number exceeds its parent's.
+
+    That is 1 and the subtrees of the siblings before it, in the order of the
+    ids' hashes. Siblings are summed up inside blocks of hashes, and the blocks'
+    sums per parent in order.
+    """
+    bits = max(0, (sized.count() // siblings_per_block).bit_length())
+    rows = sized.withColumn("h", F.xxhash64("node")).withColumn("block", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    kids, roots = rows.filter(F.col("up").isNotNull()), rows.filter(F.col("up").isNull())
+    within = Window.partitionBy("up", "block").orderBy("h", "node").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = kids.groupBy("up", "block").agg(F.sum("below").alias("all")).select("up", "block", F.coalesce(F.sum("all").over(across), F.lit(0)).alias("base"))
+    kids = kids.withColumn("ahead", F.coalesce(F.sum("below").over(within), F.lit(0))).join(bases, ["up", "block"])
+    return kids.select("node", "up", "below", (F.col("base") + F.col("ahead") + 1).alias("step")).unionByName(roots.select("node", "up", "below", F.lit(0).cast("bigint").alias("step")))
+
+
+def _double(rows: DataFrame) -> DataFrame:
+    """The columns of the walk for (component, node, parent, on_cycle), by doubling instead.
+
+    A loop is cut at the node that names its component, and is then a tree like
+    the others. After k steps anc is the ancestor exactly 2^k links up, and
+    path, hops and enter cover the nearest 2^k nodes.
+    """
+    looped, first = F.col("on_cycle").isNotNull(), F.col("node") == F.col("component")
+    up = F.when(looped & first, F.lit(None).cast("string")).otherwise(F.col("parent"))
+    named = rows.select("component", "node", "parent", "on_cycle", up.alias("up"))
+    steps = _steps_in(_subtree_sizes(named.select("node", "up")))
+    there = F.count_if(F.col("anc").isNotNull())
+    start = named.drop("up").join(steps, "node").select("component", "node", "parent", "on_cycle", "below", F.col("up").alias("anc"), F.when(~looped, F.col("node")).alias("path"), F.lit(0).cast("bigint").alias("hops"), F.col("step").alias("enter"))
+    state, open_ = cut_counted(start, "paths", n=there)
+    while open_["n"]:
+        ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("path").alias("path2"), F.col("hops").alias("hops2"), F.col("enter").alias("enter2"))
+        moved, top = lookup_join(state, ahead, "anc"), F.col("anc").isNull()
+        state, open_ = cut_counted(
+            moved.select(
+                "component", "node", "parent", "on_cycle", "below", F.col("anc2").alias("anc"), F.when(top | F.col("path").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path")).alias("path"),
+                F.when(top, F.col("hops")).otherwise(F.col("hops") + F.col("hops2") + 1).alias("hops"), F.when(top, F.col("enter")).otherwise(F.col("enter") + F.col("enter2")).alias("enter"),
+            ), "paths", n=there,
+        )
+    tree = ~looped
     return state.select(
-        F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.lit("tree").alias("kind"), F.col("component").alias("root_id"),
-        F.col("up").alias("depth"), F.col("path").alias("node_path"), (F.col("below") - 1).alias("descendants"),
-        F.lit(None).cast("bigint").alias("enter"), F.lit(False).alias("closes_cycle"),
-    )
+        F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.when(tree, "tree").when(F.col("on_cycle"), "cycle").otherwise("below_cycle").alias("kind"), F.when(tree, F.col("component")).otherwise("").alias("root_id"),
+        F.when(tree, F.col("hops")).otherwise(-1).cast("bigint").alias("depth"), F.when(tree, F.col("path")).otherwise("").alias("node_path"), F.when(tree, F.col("below") - 1).otherwise(-1).cast("bigint").alias("descendants"),
+        "enter", (looped & first).alias("closes_cycle"),
+    )
 
 
 def hierarchy(df: DataFrame, node: Column, parent: Column, max_component: int = MAX_COMPONENT) -> DataFrame:
@@ -223,31 +266,23 @@ def hierarchy(df: DataFrame, node: Column, parent: Column, max_component: int =
 
     node_path holds all ancestors, descendants their number below; enter is the
     depth-first number within the component, so that a node's descendants are
-    the rows with enter in (enter, enter + descendants]. It is null in
-    components above max_component. closes_cycle marks back edges: the link from
-    parent_id to node_id leads back to a node above.
+    the rows with enter in (enter, enter + descendants]. closes_cycle marks back
+    edges: the link from parent_id to node_id leads back to a node above. All
+    columns are the same whatever max_component is.
     """
     links = link_table(df, node, parent)
     rooted, endless, n_endless = tree_roots(links)
     member = rooted.select("node", F.col("root").alias("component"), F.lit(None).cast("boolean").alias("on_cycle"))
     if n_endless:
         member = member.unionByName(cycle_components(links, endless))
-    rows = cut(member.join(links, "node"), "members")
+    rows, n = cut_counted(member.join(links, "node"), "members", n=F.count(F.lit(1)))
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_component)
-    giants = cut(sizes.select("component", F.lit(True).alias("giant")), "giants")
-    if not giants.count():
+    giants, found = cut_counted(sizes.select("component", F.lit(True).alias("giant")), "giants", n=F.count(F.lit(1)))
+    if not found["n"]:
         small, big = rows, None
     else:
-        marked = lookup_join(rows, giants, "component")
+        marked = lookup_join(rows, giants, "component", total=n["n"])
         small, big = marked.filter(F.col("giant").isNull()), marked.filter(F.col("giant"))
-    walked = (
-        small.select("component", "node", "parent").repartition("component").sortWithinPartitions("component", "node").mapInArrow(_walk_sorted, SCHEMA)
-    )
-    if big is None:
-        return walked
-    loops = big.filter(F.col("on_cycle").isNotNull()).select(
-        F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.when(F.col("on_cycle"), "cycle").otherwise("below_cycle").alias("kind"),
-        F.lit("").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), F.lit("").alias("node_path"), F.lit(-1).cast("bigint").alias("descendants"),
-        F.lit(None).cast("bigint").alias("enter"), (F.col("on_cycle") & (F.col("node") == F.col("component"))).alias("closes_cycle"),
-    )
-    return walked.unionByName(_double(big.filter(F.col("on_cycle").isNull()))).unionByName(loops)
+    hashed = small.select("component", "node", "parent", F.xxhash64("node").alias("h"))
+    walked = hashed.repartition("component").sortWithinPartitions("component", "h", "node").mapInArrow(_walk_sorted, SCHEMA)
+    return walked if big is None else walked.unionByName(_double(big))

@@ -9,16 +9,17 @@ HOT_KEYS = 256
 HOT_ROWS = 50_000
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """Join left to a right side that has one row per key, with any key skew.
 
     A key is hot if it carries more than 1/256 of left's rows (and at least
     hot_rows). There can be at most 255 such keys, so their right rows are
     broadcast: that is a bound by counting, whatever the data. All other rows
     take the shuffle join. Rows with a null key match nothing. Left should be a
-    written table, as it is read once more for the counts.
+    written table, as it is read once more for the counts; total is the number
+    of its rows, if known.
     """
-    total = left.count()
+    total = left.count() if total is None else total
     hot = []
     if total > hot_rows:
         counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

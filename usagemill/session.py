@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +18,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+_OWN = re.compile(r"^[a-z]+-[0-9a-f]{32}$")
+
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -69,6 +72,27 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """cut, and aggregates of the rows written, taken while they are written instead of in a job of their own."""
+    seen = Observation()
+    table = cut(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), label)
+    return table, seen.get
+
+
+def sweep(spark: SparkSession, older_than_ms: int = 7 * 86_400_000) -> int:
+    """Remove intermediate tables that drivers which were killed have left behind; returns how many.
+
+    Only tables older than older_than_ms go, as other drivers may share the folder.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = spark._jvm.java.lang.System.currentTimeMillis()
+    old = [s.getPath() for s in fs.listStatus(root) if _OWN.search(s.getPath().getName()) and now - s.getModificationTime() > older_than_ms]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:
