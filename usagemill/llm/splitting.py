@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 
 from usagemill.llm.tokens import DEFAULT_VOCABULARY, ByteTokenizer, tokenizer
 
-PIECES = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, overlap bigint, ends_at string, piece_text string"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("overlap", pa.int64()), ("ends_at", pa.string()), ("piece_text", pa.string())])
+PIECES = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, overlap bigint, overlap_bytes bigint, ends_at string, piece_text string"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("overlap", pa.int64()), ("overlap_bytes", pa.int64()), ("ends_at", pa.string()), ("piece_text", pa.string())])
 WINDOW = 16
 SPACING = 256
 LEVELS = ("none", "space", "sentence", "line", "paragraph")
@@ -189,7 +189,7 @@ def _splitter(max_tokens: int, overlap: int, min_tokens: int, path: str, with_te
                     continue
                 stop_before = 0
                 for k, (a, b, tier) in enumerate(cut_points(x, max_tokens, min_tokens, overlap)):
-                    rows.append((doc_id, k, a, b - a, max(0, stop_before - a), LEVELS[tier], x.piece(a, b) if with_text else None))
+                    rows.append((doc_id, k, a, b - a, max(0, stop_before - a), max(0, int(x.at[stop_before] - x.at[a])), LEVELS[tier], x.piece(a, b) if with_text else None))
                     stop_before = b
             columns = list(zip(*rows)) if rows else [[] for _ in _SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
@@ -198,7 +198,11 @@ def _splitter(max_tokens: int, overlap: int, min_tokens: int, path: str, with_te
 
 
 def split_texts(df: DataFrame, doc_id: Column, text: Column, max_tokens: int, overlap: int, min_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY, with_text: bool = True) -> DataFrame:
-    """The pieces of every text of more than max_tokens tokens."""
+    """The pieces of every text of more than max_tokens tokens.
+
+    overlap is how many of a piece's tokens the piece before has too, and
+    overlap_bytes how much of its text that is.
+    """
     least = max(overlap + 1, max_tokens // 2) if min_tokens is None else min_tokens
     if not 0 <= overlap < max_tokens or not 0 < least <= max_tokens:
         raise ValueError("needs 0 <= overlap < max_tokens and 0 < min_tokens <= max_tokens")
