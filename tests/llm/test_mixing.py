@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from usagemill.llm.mixing import laid_out, mix, permute, shard_draws, shares
+from usagemill.llm.mixing import _of_many, encoded, laid_out, mix, permute, shard_draws, shares
+from usagemill.session import cut
 
 
 def test_permutations():
@@ -31,6 +32,23 @@ def test_huge_quotas_split_exactly():
     assert (before + here == quota).all()
 
 
+def test_huge_quotas_are_drawn_at_random():
+    quota = np.array([6 * 10**8, 3 * 10**8, 10**8 + 24])
+    shards = -(-int(quota.sum()) // 1000)
+    first = [shard_draws(quota, shards // 2, shards, 1000, seed)[0] for seed in range(40)]
+    assert len({tuple(x) for x in first}) == 40
+    each = np.array(first) - quota / 2
+    spread = np.sqrt(quota.sum() / 4 * (quota / quota.sum()) * (1 - quota / quota.sum()))
+    assert (np.abs(each.mean(axis=0)) < spread).all() and (each.std(axis=0) > spread / 2).all() and (each.std(axis=0) < spread * 2).all()
+
+
+def test_draws_of_many_stay_possible():
+    rng = np.random.default_rng(1)
+    for good, whole, wanted in ((2 * 10**9 - 3, 2 * 10**9, 10**9), (5, 2 * 10**9, 2 * 10**9 - 2), (10**9, 2 * 10**9, 2 * 10**9), (0, 2 * 10**9, 7)):
+        n = _of_many(good, whole, wanted, rng)
+        assert max(0, wanted - (whole - good)) <= n <= min(good, wanted)
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, source string, text string, block string")
 
@@ -53,19 +71,22 @@ def test_shares_and_repeats(spark, tok):
     assert abs(got["big"].reached_share - 0.7 / 0.95) < 0.02 and abs(got["small"].reached_share - 0.25 / 0.95) < 0.02
     assert got["absent"].drawn_tokens == 0 and got["absent"].reached_share == 0 and got[None].drawn_tokens == 0
     assert got["small"].passes <= 4 and got["big"].passes == 1
-    used = defaultdict(Counter)
+    used, text_of = defaultdict(Counter), {i: t for i, _, t, _ in reversed(ROWS)}
     for r in rows:
-        for t in range(r.first_token, r.first_token + r.n_tokens):
-            used[r.doc_id][t] += 1
+        assert len(r.tokens) == r.n_tokens == sum(p.n_tokens for p in r.parts) <= 16
+        at = 0
+        for p in r.parts:
+            ids = tok.core.encode_ordinary(text_of[p.doc_id])[p.first_token : p.first_token + p.n_tokens]
+            assert p.doc_id == 5 or r.tokens[at : at + p.n_tokens] == ids
+            at += p.n_tokens
+            for t in range(p.first_token, p.first_token + p.n_tokens):
+                used[p.doc_id][t] += 1
     assert all(max(c.values()) <= 4 for d, c in used.items() if 1000 <= d < 2000)
     assert all(max(c.values()) <= (2 if d == 5 else 1) for d, c in used.items() if d < 1000)
     assert not {2000, 3000, 4000, 4001} & set(used)
     slots = Counter((r.shard, r.slot) for r in rows)
     assert {s for s, _ in slots} == set(range(max(s for s, _ in slots) + 1))
-    per_block = Counter()
-    for r in rows:
-        per_block[r.shard, r.slot] += r.n_tokens
-    assert max(per_block.values()) <= 16
+    assert len(slots) == len(rows)
 
 
 def test_a_given_size_is_met(spark, tok):
@@ -83,8 +104,15 @@ def test_empty(spark, tok):
     assert run(spark, ROWS, [])[0] == []
 
 
-def test_offsets_tile_each_source(spark):
-    df = spark.createDataFrame([(i % 7, "a" if i % 3 else "b", i % 5 + 1, i) for i in range(300)], "doc_id bigint, source string, n_tokens bigint, row bigint")
+def test_more_targets_than_before(spark, tok):
+    rows = [(i, f"s{i}", "some words of text here " * 3, "z") for i in range(60)]
+    drawn, got = run(spark, rows, [(f"s{i}", 1 / 60, 1) for i in range(60)] + [(f"gone{i}", 0.0, 1) for i in range(12_000)], block=4)
+    assert {r.source for r in drawn} == {f"s{i}" for i in range(60)} and len(got) == 12_060
+
+
+def test_offsets_tile_each_source(spark, tok):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", "word " * (i % 5)) for i in range(300)], "doc_id bigint, source string, text string").repartition(4)
+    texts = cut(encoded(df, F.col("doc_id"), F.col("source"), F.col("text")), "tokens")
     for source in "ab":
-        got = sorted((r.offset, r.n_tokens) for r in laid_out(df).filter(F.col("source") == source).collect())
+        got = sorted((r.offset, r.n_tokens) for r in laid_out(texts).filter(F.col("source") == source).collect())
         assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))

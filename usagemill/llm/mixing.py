@@ -1,16 +1,23 @@
 """Mixing sources to target weights.
 
 Each source's texts are laid end to end and cut into blocks of a fixed number
-of tokens. The output is a row of shards with a fixed number of block slots;
-how many slots of a shard go to each source is drawn at random, and slot by
-slot the source's next draw is mapped through a pseudorandom permutation of its
-block numbers, a new one for every pass over the source. Blocks are joined to
-the slots by number, so no task needs to see a whole source.
+of tokens, as token ids. The output is a row of shards with a fixed number of
+block slots; how many slots of a shard go to each source is drawn at random, and
+slot by slot the source's next draw is mapped through a pseudorandom permutation
+of its block numbers, a new one for every pass over the source. Blocks are
+joined to the slots by number, so no task needs to see a whole source.
+
+Texts are encoded once. Each task of that pass lays its texts of a source end to
+end; the tasks' totals per source, one small row each, give where a task's texts
+begin in the source. So texts aren't moved to be laid out, and a source that
+holds most of the rows is spread over all tasks.
 
 The draws of all shards are multinomial, given that their sums hit the targets:
 a shard finds its own counts, and how many draws lie before it, by walking down
-a binary tree of seeded splits of the totals. A source's blocks are used once
-per pass and at most max_repeats passes are made, so no text is used more often.
+a binary tree of seeded splits of the totals. Splits are hypergeometric draws;
+beyond what the generator takes (_EXACT), draws of a normal variable of the same
+mean and variance, cut to what is possible. A source's blocks are used once per
+pass and at most max_repeats passes are made, so no text is used more often.
 
 Defined results
     total size            given, or the largest at which every target can be met
@@ -31,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +47,11 @@ from usagemill.session import cut
 
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 256
-DOCS_PER_BUCKET = 50_000
-MAX_TARGETS = 10_000
-_BIG = 400_000_000
+MAX_BASES = 1_000_000
+#: Fixed value: the generator's hypergeometric draws take populations below 1e9.
+_EXACT = 900_000_000
+_ENCODED = "part int, at bigint, doc_id bigint, source string, n_tokens bigint, tokens array<int>"
+_ENCODED_NAMES = [c.split()[0] for c in _ENCODED.split(", ")]
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,15 +83,29 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
 def _split(total: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
     """How many of each source's draws fall into the first slots of a node."""
     whole = int(total.sum())
-    if whole < _BIG:
+    if whole < _EXACT:
         return rng.multivariate_hypergeometric(total, slots, method="marginals")
-    exact = total.astype(float) * slots / whole
-    out = np.floor(exact).astype(np.int64)
-    short = slots - int(out.sum())
-    out[np.argsort(out - exact, kind="stable")[:short]] += 1
+    out = np.zeros_like(total)
+    rest, wanted = whole, slots
+    for i, n in enumerate(total.tolist()):
+        if rest <= n:
+            out[i] = wanted
+            break
+        out[i] = _of_many(n, rest, wanted, rng)
+        rest, wanted = rest - n, wanted - int(out[i])
     return out
 
 
+def _of_many(good: int, whole: int, wanted: int, rng: np.random.Generator) -> int:
+    """How many of wanted draws without return from whole are among the good ones."""
+    if whole < _EXACT:
+        return int(rng.hypergeometric(good, whole - good, wanted))
+    share, taken = good / whole, wanted / whole
+    spread = (wanted * share * (1 - share) * (1 - taken) * whole / (whole - 1)) ** 0.5
+    off = int(round(rng.standard_normal() * spread))
+    return max(wanted - (whole - good), min(good, wanted, max(0, good * wanted // whole + off)))
+
+
 def shard_draws(quota: np.ndarray, shard: int, shards: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(draws before the shard, draws in it) per source. Shards are alike to whoever computes them."""
     lo, hi, before, here = 0, shards, np.zeros_like(quota), quota.copy()
@@ -95,43 +119,62 @@ def shard_draws(quota: np.ndarray, shard: int, shards: int, slots: int, seed: in
     return before, here
 
 
-def sized(df: DataFrame, doc_id: Column, source: Column, text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens) of all texts."""
+def encoded(df: DataFrame, doc_id: Column, source: Column, text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(part, at, doc_id, source, n_tokens, tokens) of all texts that have tokens.
+
+    part is the task, at the tokens of the source that the task has met before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
+        t, task = tokenizer(vocabulary), TaskContext.get()
+        part, met = task.partitionId() if task else 0, {}
         for b in batches:
-            n = pa.array([t.count(x.as_py()) for x in b.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "source", "n_tokens"])
+            sources, ids, at = b.column(1).to_pylist(), [], []
+            for x, name in zip(b.column(2), sources):
+                text_ids = t.core.encode_ordinary(x.as_py()) if x.is_valid else []
+                ids.append(text_ids)
+                at.append(met.get(name, 0))
+                met[name] = at[-1] + len(text_ids)
+            n = [len(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=_ENCODED_NAMES)
 
     three = df.select(doc_id.cast("bigint").alias("doc_id"), source.cast("string").alias("source"), text.alias("text"))
-    return three.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
+    return three.mapInArrow(run, _ENCODED).filter("n_tokens > 0")
+
 
+def laid_out(texts: DataFrame) -> DataFrame:
+    """texts with the offset of each in its source's row of tokens: the totals of the parts before, and at."""
+    totals = texts.groupBy("source", "part").agg(F.sum("n_tokens").alias("all"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(totals.select("source", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")), "bases")
+    # One row per task and source: broadcast while that is few, whatever the texts come to.
+    starts = F.broadcast(starts) if starts.limit(MAX_BASES + 1).count() <= MAX_BASES else starts.hint("shuffle_merge")
+    return texts.join(starts, ["source", "part"]).withColumn("offset", F.col("base") + F.col("at")).drop("base", "at", "part")
 
-def laid_out(sizes: DataFrame) -> DataFrame:
-    """sizes with the offset of each text in its source's row of tokens.
 
-    Texts are spread over buckets by a hash of their row number, so that a huge
-    source, or a text that is there very often, is summed up in many tasks; the
-    buckets' totals per source are then summed in order.
+def blocks_of(texts: DataFrame, block: int) -> DataFrame:
+    """(source, block, n_tokens, tokens, parts): the sources' rows of tokens, cut at multiples of block.
+
+    parts says which texts a block holds; a block has at most block of them.
     """
-    buckets = sizes.count() // DOCS_PER_BUCKET + 1
-    bucket = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
-    rows = sizes.withColumn("bucket", bucket)
-    within = Window.partitionBy("source", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("n_tokens").over(within))
-    totals = sizes.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("n_tokens").alias("all"))
-    across = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("source", "bucket", F.coalesce(F.sum("all").over(across), F.lit(0)).alias("base"))
-    return rows.join(starts, ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("offset"))
+    last = F.floor((F.col("offset") + F.col("n_tokens") - 1) / block)
+    each = laid_out(texts).withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last)))
+    first = F.greatest(F.lit(0), F.col("block") * block - F.col("offset"))
+    stop = F.least(F.col("n_tokens"), (F.col("block") + 1) * block - F.col("offset"))
+    each = each.withColumns({"first": first.cast("bigint"), "n": (stop - first).cast("bigint")})
+    part = F.struct((F.col("offset") + F.col("first")).alias("o"), "doc_id", F.col("first").alias("first_token"), F.col("n").alias("n_tokens"), F.slice("tokens", F.col("first").cast("int") + 1, F.col("n").cast("int")).alias("tokens"))
+    held = each.groupBy("source", "block").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return held.select("source", "block", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias("n_tokens"), F.flatten(F.transform("p", lambda x: x["tokens"])).alias("tokens"), F.transform("p", lambda x: x.dropFields("o", "tokens")).alias("parts"))
 
 
 def plan(sizes: DataFrame, targets: DataFrame, block: int, total_tokens: int | None) -> list[dict]:
-    """Per target: blocks there are, blocks to draw. targets has (source, target_share, max_repeats)."""
-    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(MAX_TARGETS + 1).collect()
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} target sources")
-    has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).join(F.broadcast(targets.select("source").distinct()), "source").collect()
+    """Per target: blocks there are, blocks to draw. targets has (source, target_share, max_repeats).
+
+    The targets are part of the request: there is a row for each on the driver
+    and in each task, whatever the texts come to.
+    """
+    wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()
+    has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).join(targets.select("source").distinct(), "source").collect()
     there = {r["source"]: (r["n"] or 0, r["docs"]) for r in has}
     out = []
     for r in sorted(wanted, key=lambda r: (r["source"] is None, r["source"])):
@@ -148,10 +191,11 @@ def plan(sizes: DataFrame, targets: DataFrame, block: int, total_tokens: int | N
 
 
 def mix(df: DataFrame, doc_id: Column, source: Column, text: Column, targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD_SLOTS, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, list[dict]]:
-    """The drawn set, one row per text part in a slot, and the plan it was drawn by."""
-    sizes = cut(sized(df, doc_id, source, text, vocabulary).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    wanted = F.broadcast(targets.filter(F.col("source").isNotNull()).select("source").distinct())
-    used = sizes.filter(F.col("n_tokens") > 0).join(wanted, "source", "left_semi")
+    """The drawn set, one row per filled slot with its block of token ids, and the plan it was drawn by."""
+    # Sources without a target are left out before anything is encoded; an unknown size of targets is no broadcast.
+    wanted = targets.filter(F.col("source").isNotNull()).select(F.col("source").cast("string").alias("source")).distinct()
+    rows = df.select(doc_id.alias("doc_id"), source.cast("string").alias("source"), text.alias("text")).join(wanted, "source", "left_semi")
+    used = cut(encoded(rows, F.col("doc_id"), F.col("source"), F.col("text"), vocabulary), "tokens")
     made = plan(used, targets, block, total_tokens)
     drawn = [x for x in made if x["draws"]]
     quota = np.array([x["draws"] for x in drawn], dtype=np.int64)
@@ -176,12 +220,9 @@ def mix(df: DataFrame, doc_id: Column, source: Column, text: Column, targets: Da
 
     spark = df.sparkSession
     picks = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(draw, "shard bigint, slot int, source string, pass int, block bigint")
-    last = F.floor((F.col("offset") + F.col("n_tokens") - 1) / block)
-    parts = laid_out(used).withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last)))
-    first = F.greatest(F.lit(0), F.col("block") * block - F.col("offset"))
-    stop = F.least(F.col("n_tokens"), (F.col("block") + 1) * block - F.col("offset"))
-    parts = parts.select("source", "block", "doc_id", first.cast("bigint").alias("first_token"), (stop - first).cast("bigint").alias("n_tokens"))
-    return picks.join(parts, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "first_token", "n_tokens"), made
+    # Both sides grow with the texts, and the slots' size can't be estimated: never a broadcast.
+    joined = picks.hint("shuffle_merge").join(blocks_of(used, block), ["source", "block"])
+    return joined.select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens", "parts"), made
 
 
 def shares(drawn: DataFrame, made: list[dict]) -> DataFrame:
