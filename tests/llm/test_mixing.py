@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from usagemill.llm.mixing import _of_many, encoded, laid_out, mix, permute, shard_draws, shares
+from usagemill.llm.mixing import _of_many, encoded, mix, numbered, permute, shard_draws, shares
 from usagemill.session import cut
 
 
@@ -110,9 +110,17 @@ def test_more_targets_than_before(spark, tok):
     assert {r.source for r in drawn} == {f"s{i}" for i in range(60)} and len(got) == 12_060
 
 
-def test_offsets_tile_each_source(spark, tok):
-    df = spark.createDataFrame([(i, "a" if i % 3 else "b", "word " * (i % 5)) for i in range(300)], "doc_id bigint, source string, text string").repartition(4)
-    texts = cut(encoded(df, F.col("doc_id"), F.col("source"), F.col("text")), "tokens")
+def test_blocks_tile_each_source(spark, tok):
+    rows = [(i, "a" if i % 3 else "b", "word " * (i % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4)
+    made = cut(encoded(df, F.col("doc_id"), F.col("source"), F.col("text"), 64), "blocks")
+    got = numbered(made, 64).collect()
     for source in "ab":
-        got = sorted((r.offset, r.n_tokens) for r in laid_out(texts).filter(F.col("source") == source).collect())
-        assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+        mine = sorted((r for r in got if r.source == source), key=lambda r: r.block)
+        assert [r.block for r in mine] == list(range(len(mine))) and {r.n_tokens for r in mine[:-1]} == {64}
+        seen = defaultdict(list)
+        for r in mine:
+            assert len(r.tokens) == r.n_tokens == sum(p.n_tokens for p in r.parts)
+            for p in r.parts:
+                seen[p.doc_id] += range(p.first_token, p.first_token + p.n_tokens)
+        assert {d: sorted(t) for d, t in seen.items()} == {i: list(range(tok.count(t))) for i, s, t in rows if s == source and t}

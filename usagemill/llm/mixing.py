@@ -7,10 +7,11 @@ slot by slot the source's next draw is mapped through a pseudorandom permutation
 of its block numbers, a new one for every pass over the source. Blocks are
 joined to the slots by number, so no task needs to see a whole source.
 
-Texts are encoded once. Each task of that pass lays its texts of a source end to
-end; the tasks' totals per source, one small row each, give where a task's texts
-begin in the source. So texts aren't moved to be laid out, and a source that
-holds most of the rows is spread over all tasks.
+Texts are encoded once, and each task of that pass cuts the blocks of its own
+texts. What is left over of a source in a task is less than a block; these rests,
+one a task and source, are laid end to end and cut afterwards. So texts aren't
+moved to be cut, a source that holds most of the rows is spread over all tasks,
+and only the last block of a source is shorter than the others.
 
 The draws of all shards are multinomial, given that their sums hit the targets:
 a shard finds its own counts, and how many draws lie before it, by walking down
@@ -50,8 +51,12 @@ SHARD_SLOTS = 256
 MAX_BASES = 1_000_000
 #: Fixed value: the generator's hypergeometric draws take populations below 1e9.
 _EXACT = 900_000_000
-_ENCODED = "part int, at bigint, doc_id bigint, source string, n_tokens bigint, tokens array<int>"
-_ENCODED_NAMES = [c.split()[0] for c in _ENCODED.split(", ")]
+_FLUSH_TOKENS = 262_144
+_PART = "struct<doc_id: bigint, first_token: bigint, n_tokens: bigint>"
+_PLACED = f"array<struct<x: {_PART}, at: bigint>>"
+_BLOCKS = f"part int, source string, k bigint, n_tokens bigint, tokens array<int>, parts array<{_PART}>"
+_PART_SCHEMA = pa.struct([("doc_id", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64())])
+_BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("source", pa.string()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32())), ("parts", pa.list_(_PART_SCHEMA))])
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,62 +124,107 @@ def shard_draws(quota: np.ndarray, shard: int, shards: int, slots: int, seed: in
     return before, here
 
 
-def encoded(df: DataFrame, doc_id: Column, source: Column, text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(part, at, doc_id, source, n_tokens, tokens) of all texts that have tokens.
+class _Row:
+    """A task's texts of one source, end to end: the part that isn't in a block yet."""
+
+    __slots__ = ("ids", "parts", "cut")
+
+    def __init__(self) -> None:
+        self.ids, self.parts, self.cut = [], [], 0
+
+    def add(self, doc_id: int | None, ids: list[int], block: int) -> Iterator[tuple[list[int], list[tuple]]]:
+        at = 0
+        while at < len(ids):
+            n = min(len(ids) - at, block - len(self.ids))
+            self.ids += ids[at : at + n]
+            self.parts.append({"doc_id": doc_id, "first_token": at, "n_tokens": n})
+            at += n
+            if len(self.ids) == block:
+                yield self.ids, self.parts
+                self.ids, self.parts, self.cut = [], [], self.cut + 1
 
-    part is the task, at the tokens of the source that the task has met before.
-    """
+
+def encoded(df: DataFrame, doc_id: Column, source: Column, text: Column, block: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(part, source, k, n_tokens, tokens, parts): each task's blocks, numbered per source by k, and its rests, whose k is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, task = tokenizer(vocabulary), TaskContext.get()
-        part, met = task.partitionId() if task else 0, {}
-        for b in batches:
-            sources, ids, at = b.column(1).to_pylist(), [], []
-            for x, name in zip(b.column(2), sources):
-                text_ids = t.core.encode_ordinary(x.as_py()) if x.is_valid else []
-                ids.append(text_ids)
-                at.append(met.get(name, 0))
-                met[name] = at[-1] + len(text_ids)
-            n = [len(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=_ENCODED_NAMES)
+        part, open_, out = task.partitionId() if task else 0, {}, []
 
-    three = df.select(doc_id.cast("bigint").alias("doc_id"), source.cast("string").alias("source"), text.alias("text"))
-    return three.mapInArrow(run, _ENCODED).filter("n_tokens > 0")
+        def flush() -> pa.RecordBatch:
+            source, k, ids, parts = zip(*out) if out else ([], [], [], [])
+            columns = [[part] * len(out), source, k, [len(x) for x in ids], ids, parts]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK_SCHEMA)], schema=_BLOCK_SCHEMA)
 
+        for b in batches:
+            for x, name, i in zip(b.column(2), b.column(1).to_pylist(), b.column(0).to_pylist()):
+                if x.is_valid:
+                    row = open_.setdefault(name, _Row())
+                    for ids, parts in row.add(i, t.core.encode_ordinary(x.as_py()), block):
+                        out.append((name, row.cut, ids, parts))
+                        if len(out) * block >= _FLUSH_TOKENS:
+                            yield flush()
+        out += [(name, -1, row.ids, row.parts) for name, row in open_.items() if row.ids]
+        yield flush()
 
-def laid_out(texts: DataFrame) -> DataFrame:
-    """texts with the offset of each in its source's row of tokens: the totals of the parts before, and at."""
-    totals = texts.groupBy("source", "part").agg(F.sum("n_tokens").alias("all"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(totals.select("source", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")), "bases")
-    # One row per task and source: broadcast while that is few, whatever the texts come to.
-    starts = F.broadcast(starts) if starts.limit(MAX_BASES + 1).count() <= MAX_BASES else starts.hint("shuffle_merge")
-    return texts.join(starts, ["source", "part"]).withColumn("offset", F.col("base") + F.col("at")).drop("base", "at", "part")
+    three = df.select(doc_id.cast("bigint").alias("doc_id"), source.cast("string").alias("source"), text.alias("text"))
+    return three.mapInArrow(run, _BLOCKS)
 
 
-def blocks_of(texts: DataFrame, block: int) -> DataFrame:
-    """(source, block, n_tokens, tokens, parts): the sources' rows of tokens, cut at multiples of block.
+def numbered(made: DataFrame, block: int) -> DataFrame:
+    """(source, block, n_tokens, tokens, parts): all blocks, numbered from 0 in each source.
 
-    parts says which texts a block holds; a block has at most block of them.
+    A task's blocks come after those of the tasks before, and behind them all
+    come the blocks cut from the rests.
     """
-    last = F.floor((F.col("offset") + F.col("n_tokens") - 1) / block)
-    each = laid_out(texts).withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last)))
-    first = F.greatest(F.lit(0), F.col("block") * block - F.col("offset"))
-    stop = F.least(F.col("n_tokens"), (F.col("block") + 1) * block - F.col("offset"))
-    each = each.withColumns({"first": first.cast("bigint"), "n": (stop - first).cast("bigint")})
-    part = F.struct((F.col("offset") + F.col("first")).alias("o"), "doc_id", F.col("first").alias("first_token"), F.col("n").alias("n_tokens"), F.slice("tokens", F.col("first").cast("int") + 1, F.col("n").cast("int")).alias("tokens"))
-    held = each.groupBy("source", "block").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    return held.select("source", "block", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias("n_tokens"), F.flatten(F.transform("p", lambda x: x["tokens"])).alias("tokens"), F.transform("p", lambda x: x.dropFields("o", "tokens")).alias("parts"))
-
-
-def plan(sizes: DataFrame, targets: DataFrame, block: int, total_tokens: int | None) -> list[dict]:
+    counts = made.groupBy("source", "part").agg(F.count_if(F.col("k") >= 0).alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy("source"))
+    bases = cut(counts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), total.alias("total")), "bases")
+    # One row per task and source: broadcast while that is few, whatever the texts come to.
+    bases = F.broadcast(bases) if bases.limit(MAX_BASES + 1).count() <= MAX_BASES else bases.hint("shuffle_merge")
+    placed = made.join(bases, ["source", "part"])
+    shown = ["source", "block", "n_tokens", "tokens", "parts"]
+    full = placed.filter("k >= 0").withColumn("block", F.col("base") + F.col("k")).select(*shown)
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rests = placed.filter("k < 0").withColumn("offset", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)))
+    # A rest reaches over two blocks at most, as it is shorter than one.
+    first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n_tokens") - 1) / block)
+    each = F.explode(F.transform(F.sequence(first, last), lambda b: _piece(b, block)))
+    cuts = rests.select("source", "total", each.alias("e")).groupBy("source", F.col("e.block").alias("b"), "total").agg(F.array_sort(F.collect_list("e")).alias("p"))
+    flat = lambda name: F.flatten(F.transform("p", lambda x: x[name]))
+    short = cuts.select("source", (F.col("total") + F.col("b")).alias("block"), F.size(flat("tokens")).cast("bigint").alias("n_tokens"), flat("tokens").alias("tokens"), flat("parts").alias("parts"))
+    return full.unionByName(short)
+
+
+def _piece(b: Column, block: int) -> Column:
+    """What of a rest lies in block b: its ids, and the parts of texts cut to it."""
+    start = F.greatest(F.lit(0), b * block - F.col("offset")).cast("int")
+    stop = F.least(F.col("n_tokens"), (b + 1) * block - F.col("offset")).cast("int")
+    # Each part with the place at which it begins in the rest.
+    placed = F.aggregate("parts", F.array().cast(_PLACED), lambda got, x: F.concat(got, F.array(F.struct(x.alias("x"), _end(got).alias("at")))))
+    lo = lambda y: F.greatest(start, y["at"])
+    hi = lambda y: F.least(stop, y["at"] + y["x"]["n_tokens"])
+    own = F.filter(placed, lambda y: lo(y) < hi(y))
+    parts = F.transform(own, lambda y: F.struct(y["x"]["doc_id"].alias("doc_id"), (y["x"]["first_token"] + lo(y) - y["at"]).alias("first_token"), (hi(y) - lo(y)).cast("bigint").alias("n_tokens")))
+    return F.struct(b.alias("block"), F.col("offset").alias("offset"), F.slice("tokens", start + 1, stop - start).alias("tokens"), parts.alias("parts"))
+
+
+def _end(got: Column) -> Column:
+    last = F.try_element_at(got, F.lit(-1))
+    return F.coalesce(last["at"] + last["x"]["n_tokens"], F.lit(0)).cast("bigint")
+
+
+def plan(made: DataFrame, targets: DataFrame, block: int, total_tokens: int | None) -> list[dict]:
     """Per target: blocks there are, blocks to draw. targets has (source, target_share, max_repeats).
 
     The targets are part of the request: there is a row for each on the driver
     and in each task, whatever the texts come to.
     """
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()
-    has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).join(targets.select("source").distinct(), "source").collect()
+    begun = F.size(F.filter("parts", lambda p: p["first_token"] == 0))
+    has = made.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(begun).alias("docs")).join(targets.select("source").distinct(), "source").collect()
     there = {r["source"]: (r["n"] or 0, r["docs"]) for r in has}
     out = []
     for r in sorted(wanted, key=lambda r: (r["source"] is None, r["source"])):
@@ -195,7 +245,7 @@ def mix(df: DataFrame, doc_id: Column, source: Column, text: Column, targets: Da
     # Sources without a target are left out before anything is encoded; an unknown size of targets is no broadcast.
     wanted = targets.filter(F.col("source").isNotNull()).select(F.col("source").cast("string").alias("source")).distinct()
     rows = df.select(doc_id.alias("doc_id"), source.cast("string").alias("source"), text.alias("text")).join(wanted, "source", "left_semi")
-    used = cut(encoded(rows, F.col("doc_id"), F.col("source"), F.col("text"), vocabulary), "tokens")
+    used = cut(encoded(rows, F.col("doc_id"), F.col("source"), F.col("text"), block, vocabulary), "blocks")
     made = plan(used, targets, block, total_tokens)
     drawn = [x for x in made if x["draws"]]
     quota = np.array([x["draws"] for x in drawn], dtype=np.int64)
@@ -221,7 +271,7 @@ def mix(df: DataFrame, doc_id: Column, source: Column, text: Column, targets: Da
     spark = df.sparkSession
     picks = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(draw, "shard bigint, slot int, source string, pass int, block bigint")
     # Both sides grow with the texts, and the slots' size can't be estimated: never a broadcast.
-    joined = picks.hint("shuffle_merge").join(blocks_of(used, block), ["source", "block"])
+    joined = picks.hint("shuffle_merge").join(numbered(used, block), ["source", "block"])
     return joined.select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens", "parts"), made
 
 
