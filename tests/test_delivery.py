@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from usagemill.operators.delivery import SeenMessages, identify, merge_ranges, number_ranges, response_identity, sequence, superfluous, superfluous_seen, usage_identity
+from usagemill.operators.delivery import SeenMessages, first_copies, identify, merge_ranges, number_ranges, response_identity, sequence, superfluous, superfluous_seen, usage_identity, usage_scope
 from usagemill.plans.data_queries import QUERIES
 
 SCHEMA = "record_id bigint, requestId string, sessionId string, message struct<id string>, keep_id string"
@@ -90,6 +90,34 @@ def test_seen_messages_accept_each_once(spark, tmp_path):
         assert all(a[1] + 1 < b[0] for a, b in zip(mine, mine[1:]))
 
 
+def test_long_runs_stay_short_and_deltas_merge(spark, tmp_path):
+    """Numbers in mixed order over several levels of blocks, with folders merged on the way."""
+    rng = random.Random(6)
+    numbers = [*range(-700, 70_000), *range(2**40, 2**40 + 300, 2), -(2**63), 2**63 - 1]
+    rng.shuffle(numbers)
+    parts = [numbers[i::4] for i in range(4)]
+    for most in (2, 16):
+        seen = SeenMessages(spark, f"file://{tmp_path}/seen{most}", most)
+        for part in parts:
+            df = spark.createDataFrame([("p", n, "", i) for i, n in enumerate(part)], "producer string, number bigint, scope string, order_id bigint")
+            assert seen.accept(df).count() == len(part)
+        again = spark.createDataFrame([("p", n, "", 0) for n in numbers[:500]] + [("p", 70_000, "", 1), ("q", 5, "", 2), ("p", 2**40 + 1, "", 3)], "producer string, number bigint, scope string, order_id bigint")
+        assert {(r.producer, r.number) for r in seen.uncovered(again).collect()} == {("p", 70_000), ("q", 5), ("p", 2**40 + 1)}
+        assert len(seen.folders) == (2 if most == 2 else 4)
+        seen.compact()
+        assert len(seen.folders) == 1 and seen.pieces().count() < 200 and max(seen.levels) == 2
+        spans = sorted((r.lo, r.hi) for r in seen.ranges().collect())
+        assert spans[1] == (-700, 69_999) and len(spans) == 153
+
+
+def test_first_copies_are_what_superfluous_leaves(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([f"m-{rng.randrange(9)}", "odd", None, " "]), rng.choice(["a", None]), rng.choice(["s", "t", None])) for _ in range(200)]
+    df = usage(spark, rows)
+    kept = {r.record_id for r in first_copies(df, F.col("message.id"), usage_scope(), "record_id").collect()}
+    assert kept == set(range(200)) - {d for _, d in brute(rows)}
+
+
 def test_found_by_what_was_seen(spark, data, monkeypatch):
     rng = random.Random(5)
     rows = [(rng.choice([f"msg_{rng.randrange(20):016x}", f"m-{rng.randrange(9)}", "odd", None]), rng.choice(["a", None]), rng.choice(["s", "t"])) for _ in range(300)]

@@ -63,8 +63,56 @@ def test_versions_are_atomic_and_can_be_reopened(spark, tmp_path):
     again.apply(local(b))
     assert sorted(map(tuple, old.collect())) == sorted(map(tuple, first.read().collect()))
     assert found(again) == brute(a + b)
+    before, reader = sorted(map(tuple, again.read().collect())), again.read()
+    again.apply(local(random_rows(7, 30)))
     again.vacuum()
-    assert found(SessionTable(spark, ["session_id", "project"], path, 4)) == brute(a + b)
+    assert sorted(map(tuple, reader.collect())) == before  # a reader of the former version isn't disturbed
+    again.vacuum(0)
+    assert found(SessionTable(spark, ["session_id", "project"], path, 4)) == brute(a + b + random_rows(7, 30))
+
+
+def test_a_table_keeps_its_buckets_and_keys(spark, tmp_path):
+    path, keys = f"file://{tmp_path}/t", ["session_id", "project"]
+    local = lambda rows: local_sessions(spark.createDataFrame(rows, SCHEMA), keys, "time_ms", "gap_ms")
+    rows = [(0, f"s{i}", "p", 0, 100) for i in range(40)]
+    SessionTable(spark, keys, path, 8).apply(local(rows))
+    again = SessionTable(spark, keys, path)
+    later = [(0, s, p, 50, g) for _, s, p, _, g in rows]
+    again.apply(local(later))
+    assert again.buckets == 8 and found(again) == brute(rows + later)
+    again.rebucket(3)
+    last = SessionTable(spark, keys, path, 64)
+    last.apply(local(later))
+    assert last.buckets == 3 and found(last) == brute(rows + later + later)
+    try:
+        SessionTable(spark, ["project"], path)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_a_batch_reads_only_the_spans_it_can_reach(spark, tmp_path, monkeypatch):
+    keys = ["session_id", "project"]
+    table = SessionTable(spark, keys, f"file://{tmp_path}/t", 2, span_ms=1000)
+    local = lambda rows: local_sessions(spark.createDataFrame(rows, SCHEMA), keys, "time_ms", "gap_ms")
+    a = random_rows(9, 200)
+    table.apply(local(a))
+    asked, real = [], SessionTable.read
+    monkeypatch.setattr(SessionTable, "read", lambda self, parts=None: asked.append(parts) or real(self, parts))
+    b = [(0, "s0", "p0", 8950, 100), (0, "s1", "p1", 20_000, 100)]
+    table.apply(local(b))
+    assert asked and min(s for _, s in asked[0]) >= 8
+    assert found(table) == brute(a + b)
+
+
+def test_half_a_manifest_is_never_read(spark, tmp_path):
+    keys, path = ["session_id", "project"], f"{tmp_path}/t"
+    table = SessionTable(spark, keys, f"file://{path}", 2)
+    a = random_rows(10, 50)
+    table.apply(local_sessions(spark.createDataFrame(a, SCHEMA), keys, "time_ms", "gap_ms"))
+    with open(f"{path}/_manifest/draft-0", "w") as f:
+        f.write('{"keys"')
+    assert found(SessionTable(spark, keys, f"file://{path}", 2)) == brute(a)
 
 
 def test_empty(spark):

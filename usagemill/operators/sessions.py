@@ -20,22 +20,28 @@ Defined results
     null gap                  the default gap
     null batch                the event comes with the first batches
     late events               may start, extend or bridge stored sessions
+    a table opened again      keeps the keys and buckets it was made with; other
+                              keys are refused
     empty batch               leaves the table as it is
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagemill.operators.delivery import filled
-from usagemill.session import cut, delete_path, fresh_path
+from usagemill.session import Manifest, cut, cut_counted, delete_path, fresh_path
 
 DEFAULT_GAP_MS = 5 * 3_600_000
 BUCKETS = 64
 ROWS_PER_BUCKET = 500_000
+SPAN_MS = 91 * 86_400_000
+KEEP_MS = 6 * 3_600_000
+MAX_WRITERS = 4_096
+MAX_BOUNDS = 200_000
 #: An ISO 8601 instant: date, T, time, any fraction, Z or an offset.
 INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:[Zz]|[+-][0-9]{2}(?::?[0-5][0-9])?)\z"
 
@@ -77,44 +83,48 @@ def merge_sessions(parts: DataFrame, keys: list[str], gap: str) -> DataFrame:
 
 
 class SessionTable:
-    """A stored table of sessions, in buckets by key hash and in versions.
-
-    A version is a manifest that says which folder holds each bucket. Applying
-    a batch rewrites the buckets its keys fall into, in new folders, and then
-    creates the next manifest; readers of the former version are not disturbed,
-    and a job that dies before leaves no trace in the table.
+    """A stored table of sessions, in buckets by key hash and spans of end time, and in versions.
+
+    A version is a manifest that says which folder holds each bucket and span.
+    A batch reads those it can reach only: of each bucket its keys fall into,
+    the spans from its earliest session, less the gap, on. Of the rows read,
+    those within the gap of a session of the batch are merged with it; the
+    others are written as they are. New folders are written beside the old ones
+    and put in force by the next manifest: readers of former versions are not
+    disturbed until vacuum removes what is older than they may be, and a job
+    that dies before leaves no trace in the table.
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], path: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.keys, self.buckets = spark, keys, buckets
+    def __init__(self, spark: SparkSession, keys: list[str], path: str | None = None, buckets: int = BUCKETS, span_ms: int = SPAN_MS) -> None:
+        self.spark, self.keys, self.buckets, self.span_ms = spark, keys, buckets, span_ms
         self.path = path or fresh_path(spark, "sessions")
-        self.version, self.where, self.batch = 0, {}, -1
-        self._load()
-
-    def _fs(self, name: str):  # noqa: ANN202
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _load(self) -> None:
-        p, fs = self._fs(f"{self.path}/_manifest")
-        if fs.exists(p):
-            self.version = max([0, *(int(s.getPath().getName()) for s in fs.listStatus(p))])
-            if self.version:
-                text = self.spark.read.text(f"{self.path}/_manifest/{self.version}").first()[0]
-                stored = json.loads(text)
-                self.batch, self.where = stored["batch"], {int(k): v for k, v in stored["where"].items()}
+        self.where, self.batch = {}, -1
+        self.manifest = Manifest(spark, self.path)
+        stored = self.manifest.newest()
+        if stored:
+            if stored["keys"] != keys:
+                raise ValueError(f"{self.path} holds sessions by {stored['keys']}, not by {keys}")
+            self.buckets, self.span_ms, self.batch = stored["buckets"], stored["span_ms"], stored["batch"]
+            self.where = {tuple(map(int, k.split("/"))): v for k, v in stored["where"].items()}
+
+    @property
+    def version(self) -> int:
+        return self.manifest.version
 
     def schema(self) -> str:
         return ", ".join([*(f"{k} string" for k in self.keys), "gap_ms bigint", "start_ms bigint", "end_ms bigint", "event_count bigint"])
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        """The current version, or some of its buckets."""
-        paths = sorted({f"{self.path}/{v}/_bucket={b}" for b, v in self.where.items() if buckets is None or b in buckets})
+    def read(self, parts: list[tuple[int, int]] | None = None) -> DataFrame:
+        """The current version, or some of its buckets and spans."""
+        paths = sorted(f"{self.path}/{v}/_bucket={b}/_span={s}" for (b, s), v in self.where.items() if parts is None or (b, s) in parts)
         return self.spark.read.schema(self.schema()).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema())
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
+    def span(self, ms: str | Column) -> Column:
+        return F.floor((F.col(ms) if isinstance(ms, str) else ms) / self.span_ms).cast("bigint")
+
     def apply(self, local: DataFrame, batch: int | None = None) -> None:
         """Merge a batch's local sessions (keys, gap_ms, start_ms, end_ms, event_count) into the table.
 
@@ -124,27 +134,61 @@ class SessionTable:
         if batch is not None and batch <= self.batch:
             return
         local = local.select(*self.keys, "gap_ms", "start_ms", "end_ms", "event_count")
-        hit = sorted(r[0] for r in local.select(self.bucket().alias("b")).distinct().collect())
+        reach = self.span(F.min(F.col("start_ms") - F.greatest(F.col("gap_ms"), F.lit(0))))
+        hit = {r[0]: r[1] for r in local.groupBy(self.bucket().alias("b")).agg(reach.alias("s")).collect()}
         if not hit:
             return
-        stored = self.read(hit)
-        merged = merge_sessions(stored.unionByName(local), self.keys, "gap_ms") if self.where else local
-        folder = f"v{self.version + 1}"
-        merged.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        where = self.where | dict.fromkeys(hit, folder)
-        p, fs = self._fs(f"{self.path}/_manifest/{self.version + 1}")
-        out = fs.create(p, False)
+        old = {(b, s) for b, s in self.where if b in hit and s >= hit[b]}
+        merged = self._merged(self.read(list(old)), local) if old else merge_sessions(local, self.keys, "gap_ms")
+        folder = f"v{self.version + 1}-{uuid.uuid4().hex[:8]}"
+        placed = merged.withColumns({"_bucket": self.bucket(), "_span": self.span("end_ms")})
+        # One file a bucket: rows of a bucket meet in one task, which is how the number of buckets bounds a task.
+        placed.repartition(min(len(hit), MAX_WRITERS), "_bucket").write.partitionBy("_bucket", "_span").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        where = {k: v for k, v in self.where.items() if k not in old} | dict.fromkeys(self._parts(folder), folder)
         self.batch = self.batch if batch is None else batch
-        out.write(bytearray(json.dumps({"batch": self.batch, "where": where}).encode()))
-        out.close()
-        self.version, self.where = self.version + 1, where
-
-    def vacuum(self) -> None:
-        """Remove folders that the current version doesn't name."""
-        p, fs = self._fs(self.path)
-        used = set(self.where.values())
-        for s in fs.listStatus(p) if self.where else ():
-            if s.getPath().getName().startswith("v") and s.getPath().getName() not in used:
+        self.manifest.publish({"keys": self.keys, "buckets": self.buckets, "span_ms": self.span_ms, "batch": self.batch, "where": {f"{b}/{s}": v for (b, s), v in where.items()}})
+        self.where = where
+
+    def _merged(self, stored: DataFrame, local: DataFrame) -> DataFrame:
+        """stored and local in one, where only stored sessions that the batch reaches are put in order again.
+
+        Stored sessions of a key are further apart than the gap, so one that no
+        session of the batch comes near stays as it is, whatever is merged.
+        """
+        keys, gap = self.keys, F.greatest(F.col("gap_ms"), F.lit(0))
+        bounds = local.groupBy(*keys).agg(F.min(F.col("start_ms") - gap).alias("_lo"), F.max(F.col("end_ms") + gap).alias("_hi"))
+        small = bounds.limit(MAX_BOUNDS + 1).count() <= MAX_BOUNDS
+        marked = stored.join(F.broadcast(bounds) if small else bounds, keys, "left")
+        near = F.coalesce((F.col("end_ms") >= F.col("_lo")) & (F.col("start_ms") <= F.col("_hi")), F.lit(False))
+        columns = stored.columns
+        return merge_sessions(marked.filter(near).select(*columns).unionByName(local), keys, "gap_ms").unionByName(marked.filter(~near).select(*columns))
+
+    def _parts(self, folder: str) -> list[tuple[int, int]]:
+        """The buckets and spans that a written folder has."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs, found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()), []
+        for b in fs.listStatus(root):
+            if b.isDirectory():
+                found += [(int(b.getPath().getName().split("=")[1]), int(s.getPath().getName().split("=")[1])) for s in fs.listStatus(b.getPath())]
+        return found
+
+    def rebucket(self, buckets: int) -> None:
+        """Write the whole table again in another number of buckets; former versions stay readable."""
+        rows = self.read()
+        self.buckets = buckets
+        folder = f"v{self.version + 1}-{uuid.uuid4().hex[:8]}"
+        rows.withColumns({"_bucket": self.bucket(), "_span": self.span("end_ms")}).repartition(min(buckets, MAX_WRITERS), "_bucket").write.partitionBy("_bucket", "_span").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        self.where = dict.fromkeys(self._parts(folder), folder)
+        self.manifest.publish({"keys": self.keys, "buckets": buckets, "span_ms": self.span_ms, "batch": self.batch, "where": {f"{b}/{s}": v for (b, s), v in self.where.items()}})
+
+    def vacuum(self, older_than_ms: int = KEEP_MS) -> None:
+        """Remove folders that the current version doesn't name and that were written longer ago than a reader may take."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        now, used = self.spark._jvm.java.lang.System.currentTimeMillis(), set(self.where.values())
+        for s in fs.listStatus(root) if self.where else ():
+            name = s.getPath().getName()
+            if name.startswith("v") and name not in used and now - s.getModificationTime() >= older_than_ms:
                 delete_path(self.spark, s.getPath().toString())
 
 
@@ -161,22 +205,23 @@ def with_gap(events: DataFrame, config: DataFrame, project: str, default_ms: int
     return joined.withColumn("gap_ms", F.coalesce(F.col("gap_ms"), F.lit(star[0] if star else default_ms)).cast("bigint"))
 
 
-def sessionise(events: DataFrame, keys: list[str], batch: str, increments: int = 3, bounds: tuple | None = None) -> SessionTable:
+def sessionise(events: DataFrame, keys: list[str], batch: str, increments: int = 3, bounds: tuple | None = None, buckets: int | None = None) -> SessionTable:
     """Feeds (batch, keys, time_ms, gap_ms) rows, in increments of whole batches, into a new table.
 
     bounds are the least and greatest batch, if they can be had more cheaply
-    than from the events.
+    than from the events. The batches are all there already, so their local
+    sessions are made in one pass, each batch's apart; buckets follow their
+    number unless given.
     """
     spark = events.sparkSession
     bounds = bounds or events.agg(F.min(batch), F.max(batch)).first()
     least, most = bounds if bounds[0] is not None else (0, 0)
     span = max(1, -(-(most - least + 1) // increments))
     step = F.coalesce(F.floor((F.col(batch) - least) / span).cast("int"), F.lit(0))
-    local = cut(local_sessions(events.withColumn("_step", step), keys, "time_ms", "gap_ms", ["_step"]), "local")
-    table = SessionTable(spark, keys, buckets=max(BUCKETS, local.count() // ROWS_PER_BUCKET))
+    local, n = cut_counted(local_sessions(events.withColumn("_step", step), keys, "time_ms", "gap_ms", ["_step"]), "local", n=F.count(F.lit(1)))
+    table = SessionTable(spark, keys, buckets=max(1, -(-n["n"] // ROWS_PER_BUCKET)) if buckets is None else buckets)
     for i in range(increments):
         table.apply(local.filter(F.col("_step") == i))
-        table.vacuum()
     return table
 
 

@@ -69,10 +69,12 @@ WITH lines AS (
 ), islands AS (SELECT *, n - row_number() OVER (PARTITION BY table_name, src_file ORDER BY n) AS island FROM lines)
 SELECT table_name, src_file, min(n) AS first_line, max(n) AS last_line FROM islands GROUP BY table_name, src_file, island""",
     "p5_by_batch": """
-WITH bounds AS (SELECT min(batch_id) AS lo, (max(batch_id) - min(batch_id)) // 3 + 1 AS width FROM codex_records),
-first AS (SELECT trim(payload.response_id) AS k, min(batch_id) AS b FROM codex_records WHERE trim(payload.response_id) <> '' GROUP BY 1)
-SELECT d.delivery::BIGINT AS delivery, count(f.k) AS accepted FROM range(3) AS d(delivery) CROSS JOIN bounds
-LEFT JOIN first f ON (f.b - lo) // width = d.delivery GROUP BY 1""",
+WITH keyed AS (
+  SELECT 'claude_usage' AS t, batch_id, nullif(trim(message.id), '') || '|' || CASE WHEN trim(requestId) <> '' THEN 'r' || trim(requestId) WHEN trim(sessionId) <> '' THEN 's' || trim(sessionId) END AS k FROM claude_usage
+  UNION ALL SELECT 'codex_records', batch_id, nullif(trim(payload.response_id), '') FROM codex_records
+), bounds AS (SELECT t, min(batch_id) AS lo, (max(batch_id) - min(batch_id)) // 3 + 1 AS width FROM keyed GROUP BY t),
+first AS (SELECT t, k, min(coalesce((batch_id - lo) // width, 0)) AS d FROM keyed JOIN bounds USING (t) WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT b.t AS table_name, n.n::BIGINT AS delivery, count(f.k) AS accepted FROM bounds b CROSS JOIN range(3) AS n(n) LEFT JOIN first f ON f.t = b.t AND f.d = n.n GROUP BY 1, 2""",
     "p6_found": f"""
 WITH files AS (SELECT DISTINCT stream, file_seq, src_file FROM log_lines),
 chain AS (SELECT src_file, lag(src_file) OVER (PARTITION BY stream ORDER BY file_seq) AS before FROM files),

@@ -49,10 +49,6 @@ def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return quarantine.load_valid(*_raw(spark, folder))
 
 
-def _superfluous_usage(spark: SparkSession, folder: str) -> DataFrame:
-    return delivery.superfluous(delivery.usage_identity(table(spark, folder, "claude_usage")))
-
-
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     usage = delivery.superfluous_seen(delivery.usage_identity(table(spark, folder, "claude_usage"))).withColumn("table_name", F.lit("claude_usage"))
     codex = delivery.superfluous_seen(delivery.response_identity(table(spark, folder, "codex_records"))).withColumn("table_name", F.lit("codex_records"))
@@ -70,26 +66,27 @@ def p5_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_by_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """codex_records through the seen-ranges table in three deliveries: copies accepted of each."""
-    records = table(spark, folder, "codex_records")
-    bounds = records.agg(F.min("batch_id"), F.max("batch_id")).first()
-    seen, out = delivery.SeenMessages(spark), None
-    lo, hi = (bounds[0], bounds[1]) if bounds[0] is not None else (0, 0)
-    width = (hi - lo) // 3 + 1
-    for i in range(3):
-        part = records.filter(F.col("batch_id").between(lo + i * width, lo + (i + 1) * width - 1))
-        accepted = seen.accept(delivery.response_identity(part)).agg(F.lit(i).cast("bigint").alias("delivery"), F.count(F.lit(1)).alias("accepted"))
-        out = accepted if out is None else out.unionByName(accepted)
+    """Both tables through seen ranges in three deliveries by batch: copies accepted of each. Rows without a batch come first."""
+    out = None
+    for name, identity in (("claude_usage", delivery.usage_identity), ("codex_records", delivery.response_identity)):
+        records, seen = table(spark, folder, name), delivery.SeenMessages(spark)
+        lo, hi = records.agg(F.min("batch_id"), F.max("batch_id")).first()
+        lo, hi = (lo, hi) if lo is not None else (0, 0)
+        width = (hi - lo) // 3 + 1
+        step = F.coalesce(F.expr(f"(batch_id - {lo}) div {width}"), F.lit(0))
+        for i in range(3):
+            accepted = seen.accept(identity(records.filter(step == i))).agg(F.lit(name).alias("table_name"), F.lit(i).cast("bigint").alias("delivery"), F.count(F.lit(1)).alias("accepted"))
+            out = accepted if out is None else out.unionByName(accepted)
     return out
 
 
 def _usage_events(spark: SparkSession, folder: str) -> DataFrame:
     usage = table(spark, folder, "claude_usage")
-    dropped = _superfluous_usage(spark, folder).select(F.col("drop_id").alias("record_id"))
-    named = usage.select("record_id", "batch_id", "sessionId", "project", sessions.instant_ms(F.col("timestamp")).alias("time_ms"))
-    named = named.filter(F.col("time_ms").isNotNull() & delivery.filled(F.col("sessionId")).isNotNull())
+    usage = usage.select("record_id", "batch_id", "sessionId", "project", "timestamp", F.col("message.id").alias("ident"), delivery.usage_scope().alias("scope"))
+    kept = delivery.first_copies(usage.select("record_id", "batch_id", "sessionId", "project", sessions.instant_ms(F.col("timestamp")).alias("time_ms"), "ident", "scope"), F.col("ident"), F.col("scope"), "record_id")
+    named = kept.drop("ident", "scope").filter(F.col("time_ms").isNotNull() & delivery.filled(F.col("sessionId")).isNotNull())
     config = table(spark, folder, "report_config").select("project", F.col("commands.blocks.sessionLength").alias("hours"))
-    return sessions.with_gap(named.join(dropped, "record_id", "left_anti"), config, "project")
+    return sessions.with_gap(named, config, "project")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

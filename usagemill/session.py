@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import shutil
 import tempfile
@@ -79,6 +80,47 @@ def cut_counted(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame
     return table, seen.get
 
 
+class Manifest:
+    """Numbered JSON documents in a folder; the newest says what is in force.
+
+    A document is written under another name and renamed when it is complete, so
+    readers never meet half of one. A table has one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.folder, self.version = spark, f"{path}/_manifest", 0
+
+    def _at(self, name: str):  # noqa: ANN202
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def newest(self) -> dict | None:
+        p, fs = self._at("")
+        if not fs.exists(p):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        self.version = max([0, *(int(n) for n in names if n.isdigit())])
+        if not self.version:
+            return None
+        p, fs = self._at(str(self.version))
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def publish(self, document: dict) -> None:
+        (draft, fs), (final, _) = self._at(f"draft-{uuid.uuid4().hex}"), self._at(str(self.version + 1))
+        if fs.exists(final):
+            raise RuntimeError(f"{final.toString()} is there already: the table has another writer")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(document).encode()))
+        out.close()
+        if not fs.rename(draft, final):
+            raise RuntimeError(f"{final.toString()} could not be put in place")
+        self.version += 1
+
+
 def sweep(spark: SparkSession, older_than_ms: int = 7 * 86_400_000) -> int:
     """Remove intermediate tables that drivers which were killed have left behind; returns how many.
 
