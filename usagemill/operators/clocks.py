@@ -1,14 +1,19 @@
 """Mixed timestamp formats and time zones, normalised to UTC microseconds.
 
 Every reading is parsed under each format that could hold for it. Where more
-than one gives a real date (day/month against month/day), the formats of one
-source are taken as a mixture: readings with one possible parse count fully,
-the others by the mixture's weights, and expectation-maximisation settles the
-weights. A reading takes the format with the highest posterior, and is marked
-undecided when that posterior is below min_posterior.
-
-All parsing is built from column expressions. EM runs on counts per source and
-set of possible formats, a table whose size doesn't follow the rows.
+than one gives a real date (day/month against month/day), the readings of one
+source are taken as drawn from a mixture of formats, and from the months in
+which the source was at work. A parse's likelihood is the weight of its format
+times the share of the month that the value falls in if read that way; readings
+with one possible parse count fully, the others by their parses' posteriors, and
+expectation-maximisation settles weights and shares. A reading takes the parse
+with the highest posterior, and is marked undecided when that is below
+min_posterior.
+
+All parsing is built from column expressions: a few characters tell which
+pattern a text can have, and only that one is matched, once. EM runs on counts
+per source and set of possible formats and months, a table whose size follows
+the calendar, not the rows. Readings with one parse need no look-up in it.
 
 Statuses
     invalid      no reading, no real date or time, no unit that gives this century
@@ -24,15 +29,14 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagemill.session import cut
+from usagemill.session import cut, cut_counted
 
-#: Hours from UTC of the usual European and US zone abbreviations.
+#: Hours from UTC of the usual European and US zone abbreviations. Some stand for
+#: other zones elsewhere in the world (BST, CST, MST, EST); the definition of the readings rules those out.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 1, "BST": 1, "CET": 1, "CEST": 2, "MET": 1, "MEST": 2, "EET": 2, "EEST": 3, "MSK": 3,
     "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10,
@@ -42,7 +46,9 @@ CENTURY = (946_684_800, 4_102_444_800)
 UNITS = {"epoch_s": 1, "epoch_ms": 1_000, "epoch_us": 1_000_000, "epoch_ns": 1_000_000_000}
 FORMATS = ("ymd", "dmy", "mdy", "month_first", "day_first", *UNITS, "pair")
 MIN_POSTERIOR = 0.9
-MAX_SOURCES = 10_000
+MAX_TABLE = 500_000
+#: Mean length of a month, in microseconds.
+MONTH = 2_629_746_000_000
 DAY = 86_400_000_000
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp][Mm]))?"
@@ -72,18 +78,34 @@ def _by_shape(value) -> Column:  # noqa: ANN001
     return out
 
 
+def _possible_shape(t: Column) -> Column:
+    """The one pattern that t can have by its first characters; each pattern implies its condition here."""
+    at = lambda i: F.substring(t, i, 1)
+    digit = lambda i: at(i).between("0", "9")
+    letter = F.upper(at(1)).between("A", "Z")
+    timed = t.contains(":")
+    return (
+        F.when(at(5).isin("-", "/") & digit(2) & digit(3), "ymd").when(letter & (at(4) == ","), "day_first").when(letter, "month_first")
+        .when(timed & digit(1) & (at(2).isin("-", "/", ".") | at(3).isin("-", "/", ".")), "numeric").when(timed & digit(1) & ((at(2) == " ") | (at(3) == " ")), "day_first")
+        .when(at(1) == "[", "pair").otherwise("number")
+    )
+
+
 def _pieces(base: DataFrame) -> DataFrame:
     """base with the parts of its text t, a few columns at a time so that nothing is worked out twice.
 
     wall1 and wall2 are microseconds as if in UTC, null if no real date or time:
     wall2 is the month-first reading of a numeric date. offset is in minutes.
     """
-    shape = None
-    for name, (pattern, _) in SHAPES.items():
-        shape = F.when(F.col("t").rlike(pattern), name) if shape is None else shape.when(F.col("t").rlike(pattern), name)
-    df = base.withColumn("shape", shape)
+    df = base.withColumn("t", F.when(~F.col("t").contains(_SEP), F.col("t")))
+    df = df.withColumn("shape", _possible_shape(F.col("t")))
+    # A text that doesn't match comes back as it is, in one part.
     text = _by_shape(lambda pattern, _: F.regexp_replace("t", pattern, _SEP.join(f"${i}" for i in range(1, 12))))
-    df = df.withColumns({"g": F.split(text, _SEP), "number": F.when(F.col("shape").isNull() & F.col("t").rlike(_NUMBER), F.expr("try_cast(t AS DECIMAL(38, 18))")), "pair": F.when(F.col("shape").isNull() & F.col("t").rlike(_PAIR), F.split(F.regexp_replace("t", _PAIR, "$1,$2"), ","))})
+    df = df.withColumns({
+        "g": F.split(text, _SEP), "number": F.when((F.col("shape") == "number") & F.col("t").rlike(_NUMBER), F.expr("try_cast(t AS DECIMAL(38, 18))")),
+        "pair": F.when((F.col("shape") == "pair") & F.col("t").rlike(_PAIR), F.split(F.translate("t", "[] ", ""), ",")),
+    })
+    df = df.withColumn("g", F.when(F.size("g") == 11, F.col("g"))).withColumn("shape", F.when(F.col("g").isNotNull(), F.col("shape")))
     g = lambda i: F.col("g")[i - 1]
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
     part = lambda k: _by_shape(lambda _, place: g(place[k]))
@@ -91,7 +113,7 @@ def _pieces(base: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
     df = df.withColumns({
         "y": number(0), "mo": number(1), "d": number(2), "hh": _integer(g(5)), "mi": _integer(g(6)), "ss": F.coalesce(_integer(g(7)), F.lit(0)), "us": F.rpad(F.substring(g(8), 1, 6), 6, "0").cast("bigint"),
-        "half": F.upper(g(9)), "mark": g(10), "zone": F.nullif(g(11), F.lit("")), "digits": F.regexp_replace(g(10), "[^0-9]", ""),
+        "half": F.upper(g(9)), "mark": g(10), "zone": F.nullif(g(11), F.lit("")), "digits": F.when(g(10).startswith("+") | g(10).startswith("-"), F.translate(g(10), "+-:", "")).otherwise(F.when(g(10).isNotNull(), "")),
     })
     half, hh = F.col("half"), F.col("hh")
     hour = F.when(half == "", hh).when(hh.between(1, 12), hh % 12 + F.when(half == "PM", 12).otherwise(0))
@@ -119,7 +141,9 @@ def _parses() -> Column:
 
     for wall, name in (("wall1", F.when(F.col("shape") == "numeric", "dmy").otherwise(F.col("shape"))), ("wall2", F.lit("mdy"))):
         fixed = F.col("offset").isNotNull()
-        entry(name, F.when(fixed, F.col(wall) - F.col("offset").cast("bigint") * 60_000_000), F.when(~fixed, F.col(wall)), F.col("zone"))
+        # Day and month alike: both readings are one.
+        wall_us = F.col(wall) if wall == "wall1" else F.when(F.col("wall2") != F.coalesce("wall1", F.lit(0)), F.col("wall2"))
+        entry(name, F.when(fixed, wall_us - F.col("offset").cast("bigint") * 60_000_000), F.when(~fixed, wall_us), F.col("zone"))
     number = F.col("number")
     for name, per_second in UNITS.items():
         inside = (number >= F.lit(CENTURY[0] * per_second)) & (number < F.lit(CENTURY[1] * per_second))
@@ -149,49 +173,52 @@ def resolve_wall(df: DataFrame, wall: str, zone: str) -> DataFrame:
     return df.withColumns({"n": F.when(w.isNotNull(), count), "first": F.least("_a", "_b")}).drop("_before", "_after", "_a", "_b")
 
 
-def mixture_weights(signatures: list[tuple[tuple[str, ...], int]], rounds: int = 50) -> dict[str, float]:
-    """EM over (possible formats, rows): the share of each format in the source."""
-    formats = sorted({f for s, _ in signatures for f in s})
+def mixture(signatures: list[tuple[tuple[tuple[str, int], ...], int]], rounds: int = 50) -> tuple[dict[str, float], dict[int, float]]:
+    """EM over (possible parses as (format, month), rows): the formats' weights and the months' shares in the source."""
+    formats, months = sorted({f for s, _ in signatures for f, _ in s}), sorted({m for s, _ in signatures for _, m in s})
     total = sum(n for _, n in signatures)
-    weight = {f: 1 / len(formats) for f in formats}
+    weight, share = {f: 1 / len(formats) for f in formats}, {m: 1 / len(months) for m in months}
     for _ in range(rounds):
-        mass = dict.fromkeys(formats, 0.0)
+        of, at = dict.fromkeys(formats, 0.0), dict.fromkeys(months, 1.0)  # one row more a month, so that none is impossible
         for s, n in signatures:
-            norm = sum(weight[f] for f in s)
-            for f in s:
-                mass[f] += n * (weight[f] / norm if norm else 1 / len(s))
-        fresh = {f: m / total for f, m in mass.items()}
-        moved = max(abs(fresh[f] - weight[f]) for f in formats)
-        weight = fresh
+            likely = [weight[f] * share[m] for f, m in s]
+            norm = sum(likely)
+            for (f, m), x in zip(s, likely):
+                part = n * (x / norm if norm else 1 / len(s))
+                of[f] += part
+                at[m] += part
+        fresh, seen = {f: x / total for f, x in of.items()}, {m: x / (total + len(months)) for m, x in at.items()}
+        moved = max(max(abs(fresh[f] - weight[f]) for f in formats), max(abs(seen[m] - share[m]) for m in months))
+        weight, share = fresh, seen
         if moved < 1e-9:
             break
-    return weight
+    return weight, share
 
 
-def _choose(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-    """One source's signatures: the format with the highest posterior for each."""
-    pdf = frames
-    sets = [tuple(s.split("|")) for s in pdf["signature"]]
-    weight = mixture_weights(list(zip(sets, pdf["rows"].tolist())))
-    chosen, posterior = [], []
-    for s in sets:
-        norm = sum(weight[f] for f in s)
-        best = max(sorted(s), key=lambda f: weight[f])
-        chosen.append(best)
-        posterior.append(weight[best] / norm if norm else 1 / len(s))
-    return pd.DataFrame({"source": pdf["source"], "signature": pdf["signature"], "chosen": chosen, "posterior": posterior})
+def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One source's signatures: the parse with the highest posterior for each that has several."""
+    sets = [tuple((f, int(m)) for f, m in (x.split("@") for x in s.split("|"))) for s in pdf["signature"]]
+    weight, share = mixture(list(zip(sets, pdf["rows"].tolist())))
+    out = []
+    for source, signature, s in zip(pdf["source"], pdf["signature"], sets):
+        if len(s) > 1:
+            likely = [(weight[f] * share[m], f) for f, m in s]
+            norm, (top, best) = sum(x for x, _ in likely), max(sorted(likely, key=lambda x: x[1]), key=lambda x: x[0])
+            out.append((source, signature, best, top / norm if norm else 1 / len(s)))
+    return pd.DataFrame(out, columns=["source", "signature", "chosen", "posterior"])
 
 
 def interpret(df: DataFrame, record_id: Column, source: Column, text: Column, zone: Column) -> DataFrame:
-    """(record_id, source, host_zone, signature, parses) of all readings; signature names the formats that hold."""
+    """(record_id, source, host_zone, signature, parses) of all readings; signature names the formats that hold, and the months they give."""
     known = F.when(zone.rlike(r"^(UTC|GMT|[A-Z][A-Za-z_]+(/[A-Za-z0-9_+\-]+)+)\z"), zone)
     base = df.select(record_id.cast("bigint").alias("record_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.trim(text).alias("t"), known.alias("host_zone"))
     parsed = _pieces(base).select("record_id", "source", "host_zone", _parses().alias("parses"))
-    return parsed.withColumn("signature", F.array_join(F.transform("parses", lambda e: e["format"]), "|"))
+    month = lambda e: F.floor(F.coalesce(e["utc"], e["wall"]) / MONTH).cast("string")
+    return parsed.withColumn("signature", F.array_join(F.transform("parses", lambda e: F.concat(e["format"], F.lit("@"), month(e))), "|"))
 
 
 def choices(parsed: DataFrame) -> DataFrame:
-    """(source, signature, chosen, posterior): EM per source, on counts."""
+    """(source, signature, chosen, posterior) of the signatures with several parses: EM per source, on counts."""
     counts = parsed.filter(F.col("signature") != "").groupBy("source", "signature").agg(F.count(F.lit(1)).alias("rows"))
     return counts.groupBy("source").applyInPandas(_choose, "source string, signature string, chosen string, posterior double")
 
@@ -199,10 +226,12 @@ def choices(parsed: DataFrame) -> DataFrame:
 def normalise(df: DataFrame, record_id: Column, source: Column, text: Column, zone: Column, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """(record_id, status, utc_us, format, posterior), one row per reading."""
     parsed = cut(interpret(df, record_id, source, text, zone), "readings")
-    table = cut(choices(parsed), "formats")
-    if table.select("source").distinct().count() <= MAX_SOURCES:
-        table = F.broadcast(table)
-    rows = parsed.join(table, ["source", "signature"], "left")
+    table, n = cut_counted(choices(parsed), "formats", n=F.count(F.lit(1)))
+    several = F.size("parses") > 1
+    sole, open_ = parsed.filter(~several), parsed.filter(several)
+    settled = open_.join(F.broadcast(table) if n["n"] <= MAX_TABLE else table, ["source", "signature"], "left")
+    only = F.when(F.size("parses") == 1, F.col("parses")[0]["format"])
+    rows = sole.withColumns({"chosen": only, "posterior": F.when(only.isNotNull(), F.lit(1.0))}).unionByName(settled)
     picked = F.filter("parses", lambda e: e["format"] == F.col("chosen"))[0]
     rows = rows.withColumn("p", F.when(F.size("parses") > 0, picked))
     rows = rows.withColumn("zone_used", F.coalesce("p.zone", "host_zone"))
