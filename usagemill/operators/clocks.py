@@ -142,7 +142,7 @@ def _parses() -> Column:
     for wall, name in (("wall1", F.when(F.col("shape") == "numeric", "dmy").otherwise(F.col("shape"))), ("wall2", F.lit("mdy"))):
         fixed = F.col("offset").isNotNull()
         # Day and month alike: both readings are one.
-        wall_us = F.col(wall) if wall == "wall1" else F.when(F.col("wall2") != F.coalesce("wall1", F.lit(0)), F.col("wall2"))
+        wall_us = F.col(wall) if wall == "wall1" else F.when(~F.col("wall2").eqNullSafe(F.col("wall1")), F.col("wall2"))
         entry(name, F.when(fixed, wall_us - F.col("offset").cast("bigint") * 60_000_000), F.when(~fixed, wall_us), F.col("zone"))
     number = F.col("number")
     for name, per_second in UNITS.items():

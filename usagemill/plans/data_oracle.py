@@ -34,8 +34,10 @@ WITH usage AS (
   SELECT table_name, keep_id, record_id AS drop_id FROM kept WHERE record_id > keep_id
 )"""
 
+_TEXT = "CASE json_type(raw, '$.{p}') WHEN 'OBJECT' THEN coalesce(raw->>'$.{p}.id', raw->>'$.{p}.mode', raw->>'$.{p}') WHEN 'ARRAY' THEN CASE WHEN json_array_length(raw, '$.{p}') = 1 THEN raw->>'$.{p}[0]' ELSE raw->>'$.{p}' END WHEN 'DOUBLE' THEN regexp_replace(raw->>'$.{p}', '[.]0+$', '') ELSE raw->>'$.{p}' END"
 _PATHS = ("payload.model", "payload.model_name", "payload.info.model", "message.usage.speed")
 _AT = " UNION ALL ".join(f"SELECT src_file, '{p}' AS path, json_type(raw, '$.{p}') AS t FROM log_lines" for p in _PATHS)
+_VALUES = " UNION ALL ".join(f"SELECT src_file, '{p}' AS path, json_type(raw, '$.{p}') AS t, raw->>'$.{p}' AS v FROM log_lines" for p in _PATHS)
 
 ORACLE = {
     "p1_found": _NODES + """, below AS (
@@ -86,4 +88,21 @@ SELECT g.src_file, 'renamed' AS change, g.path AS old_path, k.path AS new_path F
 UNION ALL SELECT src_file, 'removed', path, '' FROM gone WHERE src_file NOT IN (SELECT src_file FROM sole)
 UNION ALL SELECT src_file, 'added', '', path FROM came WHERE src_file NOT IN (SELECT src_file FROM sole)
 UNION ALL SELECT c.src_file, 'retyped', a.path, a.path FROM chain c JOIN here a ON a.src_file = c.before JOIN here b ON b.src_file = c.src_file AND b.path = a.path AND b.kind <> a.kind""",
+    "p6_renames": f"""
+WITH files AS (SELECT DISTINCT stream, file_seq, src_file FROM log_lines),
+chain AS (SELECT src_file, lag(src_file) OVER (PARTITION BY stream ORDER BY file_seq) AS before FROM files),
+each AS (SELECT src_file, path, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind, v FROM ({_VALUES}) WHERE t IS NOT NULL AND t <> 'NULL'),
+here AS (SELECT src_file, path, min(kind) AS kind, list(DISTINCT v) AS vals FROM each GROUP BY 1, 2),
+gone AS (SELECT c.src_file, a.* EXCLUDE (src_file) FROM chain c JOIN here a ON a.src_file = c.before WHERE NOT EXISTS (SELECT 1 FROM here b WHERE b.src_file = c.src_file AND b.path = a.path)),
+came AS (SELECT c.src_file, b.* EXCLUDE (src_file) FROM chain c JOIN here b ON b.src_file = c.src_file WHERE c.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM here a WHERE a.src_file = c.before AND a.path = b.path)),
+grams AS (SELECT path, list_distinct(list_transform(range(1, length(path) + 2), lambda i: substr('  ' || replace(path, '_', '.') || ' ', i, 3))) AS g FROM (SELECT unnest([{", ".join(repr(p) for p in _PATHS)}]) AS path)),
+pair AS (SELECT g.src_file, g.path AS o, k.path AS n, (len(list_intersect(x.g, y.g)) / len(list_distinct(x.g || y.g)) + (g.kind = k.kind)::INT + len(list_intersect(g.vals, k.vals)) / len(list_distinct(g.vals || k.vals))) / 3 AS s
+  FROM gone g JOIN came k ON k.src_file = g.src_file JOIN grams x ON x.path = g.path JOIN grams y ON y.path = k.path),
+n AS (SELECT src_file, count(DISTINCT o) AS gs, count(DISTINCT n) AS cs FROM pair GROUP BY 1),
+one AS (SELECT p.* FROM pair p JOIN n USING (src_file) WHERE least(gs, cs) = 1 QUALIFY row_number() OVER (PARTITION BY src_file ORDER BY s DESC, o, n) = 1),
+two AS (SELECT p.src_file, p.o, p.n, p.s, q.o AS o2, q.n AS n2, q.s AS s2 FROM pair p JOIN pair q ON q.src_file = p.src_file AND q.o > p.o AND q.n <> p.n JOIN n ON n.src_file = p.src_file WHERE least(gs, cs) = 2 QUALIFY row_number() OVER (PARTITION BY p.src_file ORDER BY p.s + q.s DESC, p.o, p.n) = 1),
+best AS (SELECT src_file, o, n, s FROM one UNION ALL SELECT src_file, o, n, s FROM two UNION ALL SELECT src_file, o2, n2, s2 FROM two)
+SELECT src_file, o AS old_path, n AS new_path, round(s, 6) AS score FROM best WHERE s >= 0.5""",
+    "p6_unified": f"""
+SELECT line_id, stream, src_file, line_no, coalesce({", ".join(_TEXT.format(p=p) for p in ("payload.model", "message.model", "payload.model_name", "payload.info.model"))}) AS model, {_TEXT.format(p="message.usage.speed")} AS speed FROM log_lines""",
 }

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from usagemill.operators import clocks, delivery, drift, hierarchy, quarantine, sessions
 
 TRACKED = ["payload.model", "payload.model_name", "payload.info.model", "message.usage.speed"]
-UNIFIED = {"model": ["payload.model", "payload.model_name", "payload.info.model", "message.model"], "speed": ["message.usage.speed"]}
+#: Paths that name the columns of the unified table; renames lead to the others of PATHS.
+SEEDS = {"model": ["payload.model", "message.model"], "speed": ["message.usage.speed"]}
+PATHS = ["payload.model", "message.model", *TRACKED[1:]]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -116,10 +118,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(table(spark, folder, "log_lines"), "stream", "file_seq", "src_file", "raw", TRACKED)
 
 
+def p6_renames(spark: SparkSession, folder: str) -> DataFrame:
+    """Renames by the matching alone, also where several paths went or came at once."""
+    lines = table(spark, folder, "log_lines")
+    found = drift.renames(drift.versions(drift.profiles(lines, "stream", "file_seq", "src_file", "raw", TRACKED)))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unified(table(spark, folder, "log_lines"), "raw", UNIFIED, ["line_id", "stream", "src_file", "line_no"])
+    return drift.unified_by_matches(table(spark, folder, "log_lines"), "stream", "file_seq", "src_file", "raw", SEEDS, PATHS, ["line_id", "stream", "src_file", "line_no"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cycles, p1_trees, p2_found, p2_loaded, p3_found, p4_found, p4_formats, p5_found, p5_ranges, p5_by_batch, p6_found, p6_unified)
+    f.__name__: f for f in (p1_found, p1_cycles, p1_trees, p2_found, p2_loaded, p3_found, p4_found, p4_formats, p5_found, p5_ranges, p5_by_batch, p6_found, p6_renames, p6_unified)
 }
