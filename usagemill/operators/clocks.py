@@ -29,6 +29,8 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +108,7 @@ def _pieces(base: DataFrame) -> DataFrame:
         "pair": F.when((F.col("shape") == "pair") & F.col("t").rlike(_PAIR), F.split(F.translate("t", "[] ", ""), ",")),
     })
     df = df.withColumn("g", F.when(F.size("g") == 11, F.col("g"))).withColumn("shape", F.when(F.col("g").isNotNull(), F.col("shape")))
+    df = _fenced(df.drop("t"))
     g = lambda i: F.col("g")[i - 1]
     months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
     part = lambda k: _by_shape(lambda _, place: g(place[k]))
@@ -126,33 +129,34 @@ def _pieces(base: DataFrame) -> DataFrame:
     })
     real = F.col("hour").between(0, 23) & F.col("mi").between(0, 59) & F.col("ss").between(0, 59) & ((F.col("mark") == "") | F.col("offset").isNotNull())
     time = F.when(real, (F.col("hour") * 3600 + F.col("mi") * 60 + F.col("ss")).cast("bigint") * 1_000_000 + F.col("us"))
-    df = df.withColumn("time", time)
+    df = _fenced(df.withColumn("time", time).select("record_id", "source", "host_zone", "zone", "shape", "offset", "date1", "date2", "time", "number", "pair"))
     return df.withColumns({"wall1": F.col("date1") + F.col("time"), "wall2": F.col("date2") + F.col("time")})
 
 
-def _parses() -> Column:
-    """An array with one entry (format, utc, wall, zone) for each format that gives a real date."""
-    entries = []
-    none = F.lit(None)
-
-    def entry(name: Column, utc: Column, wall: Column, zone: Column) -> None:
-        value = F.struct(name.alias("format"), utc.cast("bigint").alias("utc"), wall.cast("bigint").alias("wall"), zone.cast("string").alias("zone"))
-        entries.append(F.when(utc.isNotNull() | wall.isNotNull(), value))
+def _parses(df: DataFrame) -> DataFrame:
+    """df with its parses: (format1, utc1, at1) and, where a date can be read both ways, (format2, utc2, at2).
 
-    for wall, name in (("wall1", F.when(F.col("shape") == "numeric", "dmy").otherwise(F.col("shape"))), ("wall2", F.lit("mdy"))):
-        fixed = F.col("offset").isNotNull()
-        # Day and month alike: both readings are one.
-        wall_us = F.col(wall) if wall == "wall1" else F.when(~F.col("wall2").eqNullSafe(F.col("wall1")), F.col("wall2"))
-        entry(name, F.when(fixed, wall_us - F.col("offset").cast("bigint") * 60_000_000), F.when(~fixed, wall_us), F.col("zone"))
+    utc is null where the zone has yet to be found. No text has more than two:
+    patterns exclude each other, and so do the units' ranges. Plain columns, as
+    arrays and functions over them would take the projection out of code
+    generation.
+    """
     number = F.col("number")
+    units, scaled = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for name, per_second in UNITS.items():
         inside = (number >= F.lit(CENTURY[0] * per_second)) & (number < F.lit(CENTURY[1] * per_second))
-        scaled = number * F.lit(1_000_000 // per_second) if per_second <= 1_000_000 else number / F.lit(per_second // 1_000_000)
-        entry(F.lit(name), F.when(inside, F.floor(scaled)), none.cast("bigint"), none)
-    seconds, nanos = F.col("pair")[0].cast("bigint"), F.col("pair")[1].cast("bigint")
-    inside = (seconds >= CENTURY[0]) & (seconds < CENTURY[1])
-    entry(F.lit("pair"), F.when(inside, seconds * 1_000_000 + F.floor(nanos / 1000)), none.cast("bigint"), none)
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+        us = number * F.lit(1_000_000 // per_second) if per_second <= 1_000_000 else number / F.lit(per_second // 1_000_000)
+        units, scaled = F.when(inside, name).otherwise(units), F.when(inside, F.floor(us).cast("bigint")).otherwise(scaled)
+    seconds = F.col("pair")[0].cast("bigint")
+    paired = F.when((seconds >= CENTURY[0]) & (seconds < CENTURY[1]), seconds * 1_000_000 + F.expr("cast(pair[1] AS bigint) div 1000"))
+    # Day and month alike: both readings are one.
+    df = df.withColumns({"unit": units, "scaled": scaled, "paired": paired, "other": F.when(~F.col("wall2").eqNullSafe(F.col("wall1")), F.col("wall2"))})
+    one, two = F.col("wall1").isNotNull(), F.col("other").isNotNull()
+    shift = F.col("offset").cast("bigint") * 60_000_000
+    format1 = F.when(one, F.when(F.col("shape") == "numeric", "dmy").otherwise(F.col("shape"))).when(two, "mdy").when(F.col("unit").isNotNull(), F.col("unit")).when(F.col("paired").isNotNull(), "pair")
+    return df.withColumns({"format1": format1, "at1": F.coalesce("wall1", "other", "scaled", "paired"), "format2": F.when(one & two, "mdy"), "at2": F.when(one & two, F.col("other"))}).withColumns({
+        "utc1": F.coalesce(F.when(one | two, F.col("at1") - shift), F.when(~(one | two), F.col("at1"))), "utc2": F.col("at2") - shift,
+    })
 
 
 def _local(us: Column, zone: Column) -> Column:
@@ -208,13 +212,23 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "signature", "chosen", "posterior"])
 
 
+def _fenced(df: DataFrame) -> DataFrame:
+    """df, with what comes after compiled apart from what it is made of.
+
+    All of it in one method would be above the size that the JVM compiles to
+    machine code (8,000 bytes), and then runs several times slower.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def interpret(df: DataFrame, record_id: Column, source: Column, text: Column, zone: Column) -> DataFrame:
-    """(record_id, source, host_zone, signature, parses) of all readings; signature names the formats that hold, and the months they give."""
+    """(record_id, source, host_zone, zone, signature, and the parses) of all readings; signature names the formats that hold, and the months they give."""
     known = F.when(zone.rlike(r"^(UTC|GMT|[A-Z][A-Za-z_]+(/[A-Za-z0-9_+\-]+)+)\z"), zone)
     base = df.select(record_id.cast("bigint").alias("record_id"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.trim(text).alias("t"), known.alias("host_zone"))
-    parsed = _pieces(base).select("record_id", "source", "host_zone", _parses().alias("parses"))
-    month = lambda e: F.floor(F.coalesce(e["utc"], e["wall"]) / MONTH).cast("string")
-    return parsed.withColumn("signature", F.array_join(F.transform("parses", lambda e: F.concat(e["format"], F.lit("@"), month(e))), "|"))
+    month = lambda i: F.floor(F.coalesce(f"utc{i}", f"at{i}") / MONTH).cast("string")
+    signature = F.concat_ws("|", *[F.concat(f"format{i}", F.lit("@"), month(i)) for i in (1, 2)])
+    walls = _fenced(_pieces(base).select("record_id", "source", "host_zone", "zone", "shape", "offset", "wall1", "wall2", "number", "pair"))
+    return _fenced(_parses(walls).select("record_id", "source", "host_zone", "zone", *[f"{c}{i}" for i in (1, 2) for c in ("format", "utc", "at")])).select("record_id", "source", "host_zone", "zone", *[f"{c}{i}" for i in (1, 2) for c in ("format", "utc", "at")], signature.alias("signature"))
 
 
 def choices(parsed: DataFrame) -> DataFrame:
@@ -227,24 +241,22 @@ def normalise(df: DataFrame, record_id: Column, source: Column, text: Column, zo
     """(record_id, status, utc_us, format, posterior), one row per reading."""
     parsed = cut(interpret(df, record_id, source, text, zone), "readings")
     table, n = cut_counted(choices(parsed), "formats", n=F.count(F.lit(1)))
-    several = F.size("parses") > 1
+    several = F.col("format2").isNotNull()
     sole, open_ = parsed.filter(~several), parsed.filter(several)
     settled = open_.join(F.broadcast(table) if n["n"] <= MAX_TABLE else table, ["source", "signature"], "left")
-    only = F.when(F.size("parses") == 1, F.col("parses")[0]["format"])
-    rows = sole.withColumns({"chosen": only, "posterior": F.when(only.isNotNull(), F.lit(1.0))}).unionByName(settled)
-    picked = F.filter("parses", lambda e: e["format"] == F.col("chosen"))[0]
-    rows = rows.withColumn("p", F.when(F.size("parses") > 0, picked))
-    rows = rows.withColumn("zone_used", F.coalesce("p.zone", "host_zone"))
-    rows = rows.withColumns({"wall": F.col("p.wall"), "zone": F.coalesce("zone_used", F.lit("UTC"))})
+    rows = sole.withColumns({"chosen": F.col("format1"), "posterior": F.when(F.col("format1").isNotNull(), F.lit(1.0))}).unionByName(settled)
+    second = F.col("chosen").eqNullSafe(F.col("format2")) & F.col("format2").isNotNull()
+    rows = rows.withColumns({"utc": F.when(second, F.col("utc2")).otherwise(F.col("utc1")), "at": F.when(second, F.col("at2")).otherwise(F.col("at1")), "zone_used": F.coalesce("zone", "host_zone")})
+    rows = rows.withColumns({"wall": F.when(F.col("utc").isNull(), F.col("at")), "zone": F.coalesce("zone_used", F.lit("UTC"))})
     rows = resolve_wall(rows, "wall", "zone")
     status = (
-        F.when(F.col("p").isNull(), "invalid")
+        F.when(F.col("at").isNull(), "invalid")
         .when(F.col("posterior") < min_posterior, "undecided")
-        .when(F.col("p.utc").isNotNull(), "ok")
+        .when(F.col("utc").isNotNull(), "ok")
         .when(F.col("zone_used").isNull(), "no_zone")
         .when(F.col("n") == 2, "ambiguous")
         .when(F.col("n") == 0, "nonexistent")
         .otherwise("ok")
     )
-    utc = F.when(F.col("status") == "ok", F.coalesce(F.col("p.utc"), F.col("first"))).otherwise(F.lit(-1).cast("bigint"))
+    utc = F.when(F.col("status") == "ok", F.coalesce(F.col("utc"), F.col("first"))).otherwise(F.lit(-1).cast("bigint"))
     return rows.withColumn("status", status).select("record_id", "status", utc.alias("utc_us"), F.col("chosen").alias("format"), "posterior")

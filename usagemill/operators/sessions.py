@@ -41,7 +41,7 @@ ROWS_PER_BUCKET = 500_000
 SPAN_MS = 91 * 86_400_000
 KEEP_MS = 6 * 3_600_000
 MAX_WRITERS = 4_096
-MAX_BOUNDS = 200_000
+MAX_BOUNDS = 5_000
 #: An ISO 8601 instant: date, T, time, any fraction, Z or an offset.
 INSTANT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:[Zz]|[+-][0-9]{2}(?::?[0-5][0-9])?)\z"
 
