@@ -111,3 +111,21 @@ def test_ledger_outlives_its_source(spark, tmp_path):
     assert ledger.read("n") is None and ledger.read("other").count() == 2
     ledger.clear()
     assert ledger.read("other") is None
+
+
+def test_flags_envelope_and_no_cost(spark):
+    u, p = usage(spark, ROWS), price(spark)
+    daily = reports.periods(u, p, "day")
+    rows = daily.collect()
+    assert [(r.missing_price, r.stored_cost) for r in rows] == [(False, 0.5), (True, 0.0)]
+    doc = json.loads(reports.envelope(daily, "daily", reports.priced(u, p, ReportOptions())).first().json)
+    assert [r["period"] for r in doc["daily"]] == ["2025-01-01", "2025-01-02"] and doc["totals"]["unpriced_models"] == ["m9"]
+    bare = reports.periods(u, p, "day", ReportOptions(with_cost=False))
+    assert "cost" not in json.dumps(bare.schema.jsonValue())
+
+
+def test_sessions_of_some_agents_are_kept_per_project(spark):
+    u = usage(spark, ROWS).withColumn("project", F.when(F.col("message_id") == "b", "p9").otherwise(F.col("project")))
+    assert [(r.session_id, r.session_project) for r in reports.sessions(u, price(spark), ReportOptions(project_sessions=("a",))).orderBy("session_id", "session_project").collect()] == [("s1", "p1"), ("s1", "p9"), ("s2", None), ("s2", "p2")]
+    both = reports.sections(u, price(spark), ["day", "session"])
+    assert both["day"].count() == 2 and both["session"].count() == 2

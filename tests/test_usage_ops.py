@@ -156,3 +156,43 @@ def test_look_back_over_blocks(spark):
     for k in "abc":
         mine = sorted(o for x, o, _ in rows if x == k)
         assert [got[k, o] for o in mine] == [None] + [o * 10 for o in mine[:-1]]
+
+
+def test_schedule_keeps_equal_rows(spark):
+    from usagemill.operators.pricing import at_time
+
+    usage = spark.createDataFrame([("m", 10, 1), ("m", 10, 1), ("x", 10, 1), (None, 10, 1)], "model string, ts_ms bigint, n int")
+    schedule = spark.createDataFrame([("m", None, 20, False, 1.0), ("m", 5, None, False, 2.0)], "model string, from_ms bigint, to_ms bigint, peak boolean, rate double")
+    got = sorted((r.model or "", r.rate) for r in at_time(usage, schedule).collect())
+    assert got == [("", None), ("m", 2.0), ("m", 2.0), ("x", None)]
+
+
+def test_tiers_hours_and_extra_tokens(spark):
+    from usagemill.operators import cost
+
+    row = "input_tokens bigint, output_tokens bigint, cache_creation_tokens bigint, cache_1h_tokens bigint, cache_read_tokens bigint, extra_total_tokens bigint, speed string"
+    usage = spark.createDataFrame([(300_000, 10, 100, 40, 5, 7, None), (100, 10, 100, None, 5, 7, "fast"), (0, 0, 0, 9, 0, 0, None)], row)
+    base = {"input_rate": 1.0, "output_rate": 2.0, "cache_create_rate": 3.0, "cache_read_rate": 0.5, "input_above_rate": 2.0, "output_above_rate": 4.0, "cache_create_above_rate": 6.0, "cache_read_above_rate": None, "fast_factor": 3.0}
+    for threshold, want in ((None, [200_000 + 200_000 + 20 + 180 + 80 + 2.5, (100 + 20 + 300 + 2.5) * 3, 0.0]), (200_000, [600_000 + 40 + 360 + 160 + 2.5, (100 + 20 + 300 + 2.5) * 3, 0.0])):
+        df = usage.select("*", *[F.lit(v).cast("double").alias(k) for k, v in base.items()], F.lit(threshold).cast("bigint").alias("context_threshold"))
+        assert [r.c for r in df.select(cost.computed().alias("c")).collect()] == want
+    more = usage.select("*", *[F.lit(v).cast("double").alias(k) for k, v in base.items()], F.lit(None).cast("bigint").alias("context_threshold"))
+    assert more.select((cost.computed(extra_billed=F.lit(True)) - cost.computed()).alias("c")).first().c == 14.0
+
+
+def test_cost_policies(spark):
+    from usagemill.operators.cost import CostPolicy
+
+    df = spark.createDataFrame([(None, 2.0), (0.0, 2.0), (3.0, 0.0)], "logged double, tokens double")
+    pick = lambda p, mode: [r[0] for r in df.select(p.cost(mode, F.col("logged"), F.col("tokens"))).collect()]
+    assert pick(CostPolicy(), "auto") == [2.0, 0.0, 3.0] and pick(CostPolicy(auto="positive"), "auto") == [2.0, 2.0, 3.0]
+    assert pick(CostPolicy(auto="tokens_first"), "auto") == [2.0, 2.0, 3.0] and pick(CostPolicy(display="zero"), "display") == [0.0, 0.0, 0.0]
+    assert pick(CostPolicy(display="tokens"), "display") == pick(CostPolicy(), "calculate") == [2.0, 2.0, 0.0] and pick(CostPolicy(), "display") == [0.0, 0.0, 3.0]
+
+
+def test_null_keys_are_never_covered(spark):
+    from usagemill.operators import relate
+
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "n int, k string")
+    b = spark.createDataFrame([("x",), (None,)], "k string")
+    assert sorted(r.n for r in relate.not_counted(a, b, ["k"]).collect()) == [2, 3]

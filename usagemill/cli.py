@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from usagemill.functions.names import parse_aliases
 from usagemill.plans import reports
 from usagemill.plans.reports import ReportOptions
+from usagemill.session import cut
 from usagemill.sources.agents import READERS, read_all
 
-PRICE = "model string, input_rate double, output_rate double, cache_create_rate double, cache_read_rate double, fast_factor double"
+PRICE = "model string, input_rate double, output_rate double, cache_create_rate double, cache_read_rate double, fast_factor double, input_above_rate double, output_above_rate double, cache_create_above_rate double, cache_read_above_rate double, context_threshold bigint"
 UNITS = {"daily": "day", "weekly": "week", "monthly": "month"}
 
 
@@ -58,6 +59,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     )
     all_time = a.since is None and a.until is None and a.last is None
     usage = read_all(spark, dict(s.split("=", 1) for s in a.source), aggregates=a.report == "session" and all_time)
+    usage = cut(usage, "usage")  # read and made unique once, not once more for the names' prices
     price = spark.read.schema(PRICE).json(a.prices) if a.prices else spark.createDataFrame([], PRICE)
     if a.report in UNITS:
         out = reports.periods(usage, price, UNITS[a.report], o)
@@ -67,8 +69,6 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         out = reports.billing_blocks(usage, price, o)
     else:
         out = reports.unified(usage, price, a.unit, o)
-    if a.no_cost:
-        out = reports.without_cost(out)
     return reports.select_sql(out, a.sql) if a.sql else out
 
 

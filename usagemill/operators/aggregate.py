@@ -17,19 +17,25 @@ def sums(cost: str = "cost") -> list[Column]:
     ]
 
 
+def flags(usage: DataFrame) -> list[Column]:
+    """Whether any row lacks a price, and what part of the cost was logged, where rows tell."""
+    out = [F.bool_or("missing_price").alias("missing_price")] if "missing_price" in usage.columns else []
+    return [*out, F.sum("stored_cost").alias("stored_cost")] if "stored_cost" in usage.columns else out
+
+
 def by_key(usage: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
-    return usage.groupBy(*keys).agg(*sums(cost))
+    return usage.groupBy(*keys).agg(*sums(cost), *flags(usage))
 
 
 def breakdown(usage: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
     """One row per key and model. Rows without a model count in their key's totals only."""
-    return usage.filter(F.col("model").isNotNull()).groupBy(*keys, "model").agg(*sums(cost), F.min("seq").alias("first_seq"))
+    return usage.filter(F.col("model").isNotNull()).groupBy(*keys, "model").agg(*sums(cost), *flags(usage), F.min("seq").alias("first_seq"))
 
 
 def nested_breakdown(usage: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
     """by_key with models_used (in the order first seen) and model_breakdowns (dearest first, ties as first seen)."""
     per_model = breakdown(usage, keys, cost)
-    fields = ["model", *TOKENS, "total_tokens", "total_cost"]
+    fields = ["model", *TOKENS, "total_tokens", "total_cost", *[c for c in ("missing_price",) if c in usage.columns]]
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("total_cost")).alias("_o"), F.col("first_seq"), *fields)))
     lists = per_model.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "model"))), lambda s: s["model"]).alias("models_used"),
@@ -42,7 +48,7 @@ def sessions(usage: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame
     """Per session: totals, first and last activity, the latest row's project (first of ties), versions."""
     latest = F.max_by(F.struct("project", "src_file"), F.struct(F.col("ts_ms"), -F.col("seq")))
     return usage.groupBy(*keys).agg(
-        *sums(cost), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), latest["project"].alias("latest_project"),
+        *sums(cost), *flags(usage), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), latest["project"].alias("latest_project"),
         F.array_join(F.array_sort(F.collect_set("version")), ",").alias("versions"),
     )
 

@@ -6,9 +6,13 @@ price. Cost is taken per row, as tiers depend on each request's size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagemill.schema import saturating_add
+
 RATES = ("input_rate", "output_rate", "cache_create_rate", "cache_read_rate")
 HOUR_FACTOR = 2.0
 CREATE_FACTOR, READ_FACTOR = 1.25, 0.1
@@ -57,14 +61,80 @@ def speed_factor(speed: Column, fast: Column) -> Column:
     return F.when(speed == "fast", F.coalesce(fast, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
-def computed(fast: bool = True) -> Column:
-    """Cost of a usage row that has the four rates and a fast_factor joined on."""
+ABOVE = ("input_above_rate", "output_above_rate", "cache_create_above_rate", "cache_read_above_rate")
+TIER_TOKENS = 200_000
+
+
+def with_tiers(price: DataFrame) -> DataFrame:
+    """price with all columns that a cost can depend on; those it lacks are null."""
+    for c in (*ABOVE, "fast_factor"):
+        if c not in price.columns:
+            price = price.withColumn(c, F.lit(None).cast("double"))
+    return price if "context_threshold" in price.columns else price.withColumn("context_threshold", F.lit(None).cast("bigint"))
+
+
+def computed(fast: bool = True, extra_billed: Column | None = None, tier_tokens: int = TIER_TOKENS) -> Column:
+    """Cost of a usage row that has the columns of with_tiers joined on.
+
+    Cache writes of an hour cost twice the input rate. A model with a
+    context_threshold is billed as a whole at the higher rates once the request's
+    context is above it; any other bucket by bucket for what is above
+    tier_tokens. Extra tokens count as output where extra_billed holds.
+    """
     create, read = default_rates(F.col("input_rate"), F.col("cache_create_rate"), F.col("cache_read_rate"))
-    total = F.col("input_tokens") * F.col("input_rate") + F.col("output_tokens") * F.col("output_rate")
-    total = total + F.col("cache_creation_tokens") * create + F.col("cache_read_tokens") * read
+    hour = F.greatest(F.least(F.coalesce("cache_1h_tokens", F.lit(0)), F.col("cache_creation_tokens")), F.lit(0))
+    five = F.col("cache_creation_tokens") - hour
+    output = F.col("output_tokens") if extra_billed is None else F.col("output_tokens") + F.when(extra_billed, F.col("extra_total_tokens")).otherwise(0)
+    context = saturating_add(F.col("input_tokens"), F.col("cache_read_tokens"), five, hour)
+    above = {c: F.col(c) for c in ABOVE}
+    parts = [
+        (F.col("input_tokens"), F.col("input_rate"), above["input_above_rate"]), (output, F.col("output_rate"), above["output_above_rate"]), (five, create, above["cache_create_above_rate"]),
+        (hour, F.col("input_rate") * HOUR_FACTOR, above["input_above_rate"] * HOUR_FACTOR), (F.col("cache_read_tokens"), read, above["cache_read_above_rate"]),
+    ]
+    threshold = F.col("context_threshold")
+    whole, each = F.lit(0.0), F.lit(0.0)
+    for tokens, base, higher in parts:
+        whole, each = whole + whole_request(tokens, base, higher, context, threshold), each + marginal(tokens, base, higher, tier_tokens)
+    total = F.when(threshold.isNotNull(), whole).otherwise(each)
     return F.coalesce(total * speed_factor(F.col("speed"), F.col("fast_factor")) if fast else total, F.lit(0.0))
 
 
+@dataclass(frozen=True)
+class CostPolicy:
+    """How a source's cost follows from what it logged and from its tokens.
+
+    display is logged, tokens or zero; auto is logged (else tokens), positive
+    (logged if above 0, else tokens), tokens, or tokens_first (else logged, if
+    above 0). extra_billed counts tokens beyond the known kinds as output.
+    """
+
+    display: str = "logged"
+    auto: str = "logged"
+    extra_billed: bool = False
+
+    def cost(self, mode: str, logged: Column, tokens: Column) -> Column:
+        zero, some = F.lit(0.0), F.when(logged > 0, logged)
+        if mode == "calculate":
+            return tokens
+        if mode == "display":
+            return {"logged": F.coalesce(logged, zero), "tokens": tokens, "zero": zero}[self.display]
+        return {"logged": F.coalesce(logged, tokens), "positive": F.coalesce(some, tokens), "tokens": tokens, "tokens_first": F.when(tokens > 0, tokens).otherwise(F.coalesce(some, zero))}[self.auto]
+
+    def uses_logged(self, mode: str, logged: Column) -> Column:
+        """Whether a row's cost doesn't need a price."""
+        if mode == "calculate" or (mode == "display" and self.display == "tokens") or (mode == "auto" and self.auto == "tokens"):
+            return F.lit(False)
+        return F.lit(True) if mode == "display" else logged.isNotNull() if self.auto == "logged" else F.coalesce(logged > 0, F.lit(False))
+
+
+def by_policy(policies: dict[str, CostPolicy], pick) -> Column:  # noqa: ANN001
+    """pick(policy) of each row's agent; agents without a policy have the default one."""
+    out = None
+    for agent, policy in sorted(policies.items()):
+        out = F.when(F.col("agent") == agent, pick(policy)) if out is None else out.when(F.col("agent") == agent, pick(policy))
+    return pick(CostPolicy()) if out is None else out.otherwise(pick(CostPolicy()))
+
+
 def missing_price(tokens: Column, model: Column, rate: Column, logged: Column, mode: str) -> Column:
     """Tokens of a known model that could not be priced and had no logged cost to use."""
     if mode == "display":

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.functions.names import aliased, normal_key
+from usagemill.operators.cost import with_tiers
 from usagemill.session import cut
 
 MAX_NAMES = 100_000
@@ -86,6 +87,7 @@ def resolve(models: DataFrame, price: DataFrame, aliases: dict[str, str] | None
 
 def priced(usage: DataFrame, price: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """usage with the rates of its model, null where there is none."""
+    price = with_tiers(price)
     found = resolve(usage, price, aliases)
     rates = cut(found.join(price.withColumnRenamed("model", "key"), "key").drop("key", "how").coalesce(1), "rates")
     return usage.join(bounded(rates), "model", "left")
@@ -109,12 +111,14 @@ def at_time(usage: DataFrame, schedule: DataFrame) -> DataFrame:
     ts = F.timestamp_millis(F.col("ts_ms"))
     weekday = F.dayofweek(ts).between(2, 6)
     hour = F.hour(ts)
-    peak = weekday & ((hour.between(1, 3)) | hour.between(6, 9))
-    u, s = usage.withColumn("_peak", peak).alias("u"), bounded(schedule).alias("s")
-    holds = (F.col("u.model") == F.col("s.model")) & (F.col("u.ts_ms") >= F.coalesce("s.from_ms", F.lit(-(2**62)))) & (F.col("u.ts_ms") < F.coalesce("s.to_ms", F.lit(2**62))) & (~F.col("s.peak") | F.col("u._peak"))
-    joined = u.join(s, holds, "left").select("u.*", F.col("s.rate").alias("rate"), F.col("s.peak").alias("peak_rate"))
-    keys = [c for c in usage.columns]
-    return joined.groupBy(*keys).agg(F.max_by("rate", F.coalesce(F.col("peak_rate").cast("int"), F.lit(-1))).alias("rate"))
+    in_peak = weekday & ((hour.between(1, 3)) | hour.between(6, 9))
+    # A model's entries as one array, so that a row of usage meets one row and stays one row.
+    entry = F.struct(F.coalesce("peak", F.lit(False)).alias("peak"), F.coalesce("from_ms", F.lit(-(2**62))).alias("from_ms"), F.coalesce("to_ms", F.lit(2**62)).alias("to_ms"), "rate")
+    listed = schedule.groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    joined = usage.withColumn("_peak", in_peak).join(bounded(listed), "model", "left")
+    holds = F.filter("_entries", lambda e: (F.col("ts_ms") >= e["from_ms"]) & (F.col("ts_ms") < e["to_ms"]) & (~e["peak"] | F.col("_peak")))
+    # Entries are in order of peak, then start: the last one that holds goes first.
+    return joined.withColumn("rate", F.try_element_at(holds, F.lit(-1))["rate"]).select(*[F.col(f"`{c}`") for c in usage.columns], "rate")
 
 
 def as_of(usage: DataFrame, releases: DataFrame, day: str = "date") -> DataFrame:

@@ -16,8 +16,10 @@ def union_all(parts: dict[str, DataFrame], label: str = "agent") -> DataFrame:
 
 
 def not_counted(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
-    """rows that counted doesn't cover on the given columns."""
-    return rows.join(counted.select(*on).distinct(), on, "left_anti")
+    """rows that counted doesn't cover on the given columns. A null covers nothing, so rows with one need no join."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    known = counted.filter(whole).select(*on).distinct()
+    return rows.filter(whole).join(known, on, "left_anti").select(rows.columns).unionByName(rows.filter(~whole))
 
 
 def precedence(tiers: list[DataFrame], ids: list[str]) -> DataFrame:
@@ -27,8 +29,8 @@ def precedence(tiers: list[DataFrame], ids: list[str]) -> DataFrame:
         fresh = tier
         for i in ids:
             if seen[i] is not None:
-                known = seen[i].withColumnRenamed(i, f"_{i}")
-                fresh = fresh.join(known, fresh[i] == known[f"_{i}"], "left_anti")
+                # Rows without the id, however many, stay where they are.
+                fresh = fresh.filter(F.col(i).isNotNull()).join(seen[i], i, "left_anti").select(tier.columns).unionByName(fresh.filter(F.col(i).isNull()))
         for i in ids:
             mine = tier.filter(F.col(i).isNotNull()).select(i).distinct()
             seen[i] = mine if seen[i] is None else seen[i].union(mine)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from usagemill.functions.dates import in_dates, last_periods, normal_bound, report_date
 from usagemill.operators import aggregate, blocks, cost, ordered, pricing
 from usagemill.schema import TOKENS, total_tokens
+from usagemill.session import cut
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,9 @@ class ReportOptions:
     aliases: dict[str, str] = field(default_factory=dict)
     by_project: bool = False
     with_cost: bool = True
+    policies: dict[str, cost.CostPolicy] = field(default_factory=dict)
+    tier_tokens: int = cost.TIER_TOKENS
+    project_sessions: tuple[str, ...] = ("claude",)
 
     def __post_init__(self) -> None:
         if self.last is not None and (self.since or self.until):
@@ -57,19 +61,30 @@ class ReportOptions:
 
 
 def priced(usage: DataFrame, price: DataFrame, o: ReportOptions) -> DataFrame:
-    """usage with cost and missing_price, dated in the report's zone, of the asked project."""
+    """usage with cost, stored_cost and missing_price, dated in the report's zone, of the asked project.
+
+    A table that is priced already is only dated and filtered.
+    """
     u = usage.withColumn("date", report_date(F.col("ts_ms"), o.zone))
     if o.project:
         u = u.filter(F.col("project") == o.project)
-    if o.mode == "display":
-        return u.withColumn("cost", F.coalesce("cost_usd", F.lit(0.0))).withColumn("missing_price", F.lit(False))
+    if "missing_price" in usage.columns:
+        return u
+    logged = F.col("cost_usd")
+    if o.mode == "display" and all(p.display != "tokens" for p in o.policies.values()):
+        shown = cost.by_policy(o.policies, lambda p: p.cost("display", logged, F.lit(0.0)))
+        return u.withColumn("cost", shown).withColumn("stored_cost", F.lit(0.0)).withColumn("missing_price", F.lit(False))
     p = pricing.priced(u, price, o.aliases)
-    lacks = cost.missing_price(total_tokens(), F.col("model"), F.col("input_rate"), F.col("cost_usd"), o.mode)
-    return p.withColumn("cost", cost.by_mode(o.mode, F.col("cost_usd"), cost.computed())).withColumn("missing_price", lacks).select(*usage.columns, "cost", "missing_price")
+    billed = cost.by_policy(o.policies, lambda x: F.lit(x.extra_billed))
+    tokens, own = cost.computed(extra_billed=billed, tier_tokens=o.tier_tokens), cost.by_policy(o.policies, lambda x: x.uses_logged(o.mode, logged))
+    lacks = (total_tokens() > 0) & F.col("model").isNotNull() & F.col("input_rate").isNull() & ~own
+    amount = cost.by_policy(o.policies, lambda x: x.cost(o.mode, logged, tokens))
+    stored = F.when(own, F.coalesce(logged, F.lit(0.0))).otherwise(F.lit(0.0)) if o.mode == "auto" else F.lit(0.0)
+    return p.withColumns({"cost": amount, "stored_cost": stored, "missing_price": lacks}).select(*u.columns, "cost", "stored_cost", "missing_price")
 
 
 def _shape(df: DataFrame, o: ReportOptions) -> DataFrame:
-    return df if o.with_cost else df.drop("total_cost", "cost", "cost_per_minute", "projected_cost")
+    return df if o.with_cost else without_cost(df.drop("cost_per_minute", "projected_cost"))
 
 
 def _sorted(df: DataFrame, o: ReportOptions, *keys: str) -> DataFrame:
@@ -89,8 +104,10 @@ def sessions(usage: DataFrame, price: DataFrame, options: ReportOptions | None =
     """Sessions by cost, dearest first; sessions without tokens are left out."""
     o = (options or ReportOptions()).window("day")
     rows = priced(usage, price, o).filter(in_dates(F.col("date"), o.since, o.until))
-    found = aggregate.sessions(rows, ["agent", "session_id"]).filter(F.col("total_tokens") > 0)
-    return _shape(found, o).orderBy(F.desc("total_cost"), "agent", "session_id") if o.with_cost else _shape(found, o)
+    # Agents that keep sessions per project give a session for each; of others a session is one wherever it ran.
+    rows = rows.withColumn("session_project", F.when(F.col("agent").isin(*o.project_sessions), F.col("project")))
+    found = aggregate.sessions(rows, ["agent", "session_project", "session_id"]).filter(F.col("total_tokens") > 0)
+    return _shape(found.orderBy(F.desc("total_cost"), "agent", "session_project", "session_id"), o)
 
 
 def session(usage: DataFrame, price: DataFrame, session_id: str, options: ReportOptions | None = None) -> DataFrame:
@@ -153,9 +170,22 @@ def statusline(usage: DataFrame, price: DataFrame, session_id: str, options: Rep
     return flat.withColumn("context_share", F.col("context_tokens") / context_limit)
 
 
-def totals(report: DataFrame) -> DataFrame:
-    """Grand totals of a report's rows; credits only where there are any."""
-    return aggregate.totals(report)
+def totals(report: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """Grand totals of a report's rows; with the priced usage, also the models that had no price."""
+    out = aggregate.totals(report)
+    if usage is None:
+        return out
+    lacking = usage.filter("missing_price").agg(F.array_sort(F.collect_set("model")).alias("unpriced_models"))
+    return out.join(lacking)
+
+
+def envelope(report: DataFrame, name: str, usage: DataFrame | None = None) -> DataFrame:
+    """One JSON document: {name: [rows], totals: {...}}. Its size is that of a report, not of the usage."""
+    row = F.struct(*[F.col(c) for c in report.columns])
+    rows = report.withColumn("_n", F.monotonically_increasing_id()).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    grand = totals(report, usage)
+    both = rows.join(grand.select(F.struct(*grand.columns).alias("totals")))
+    return both.select(F.to_json(F.struct(F.col("rows").alias(name), "totals")).alias("json"))
 
 
 def as_json(report: DataFrame) -> DataFrame:
@@ -191,7 +221,9 @@ def _through_view(report: DataFrame, sql: str) -> DataFrame:
 
 
 def sections(usage: DataFrame, price: DataFrame, units: list[str], options: ReportOptions | None = None) -> dict[str, DataFrame]:
-    """Several reports of one usage table, in the order asked for."""
+    """Several reports of one usage table, in the order asked for; the table is read and priced once."""
+    o = options or ReportOptions()
+    usage = cut(priced(usage, price, o), "priced")
     return {u: sessions(usage, price, options) if u == "session" else periods(usage, price, u, options) for u in units}
 
 
@@ -199,4 +231,4 @@ def money(c: Column) -> Column:
     return F.round(c, 2)
 
 
-__all__ = ["TOKENS", "ReportOptions", "as_json", "billing_blocks", "by_project_json", "money", "periods", "priced", "sections", "select_sql", "session", "sessions", "statusline", "totals", "unified", "without_cost"]
+__all__ = ["TOKENS", "ReportOptions", "as_json", "billing_blocks", "by_project_json", "envelope", "money", "periods", "priced", "sections", "select_sql", "session", "sessions", "statusline", "totals", "unified", "without_cost"]

@@ -74,7 +74,7 @@ def usage(s: SparkSession, d: str) -> DataFrame:
 
 
 def exact_priced(s: SparkSession, d: str) -> DataFrame:
-    u = usage(s, d).join(pricing.bounded(price_table(s)), "model", "left")
+    u = usage(s, d).join(pricing.bounded(cost.with_tiers(price_table(s))), "model", "left")
     return u.withColumn("cost", cost.computed())
 
 
