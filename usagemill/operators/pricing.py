@@ -55,13 +55,19 @@ def _boundary(text: Column, part: Column) -> Column:
 def by_likeness(models: DataFrame, price: DataFrame) -> DataFrame:
     """The longest key that stands in the model name, or holds it; ties go to the least key.
 
-    Candidates share a token with the model: both sides are exploded into their
-    tokens and joined on them, so that no model meets every key.
+    Of two such names one has all tokens of the other, so each name is looked
+    for by its rarest token only among the other side's tokens: a common token,
+    like a number, brings no pairs of its own.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != ""))
     m = models.select("model", F.explode(tokens(F.col("model"))).alias("token"))
     k = price.select(F.col("model").alias("key")).distinct().select("key", F.explode(tokens(F.col("key"))).alias("token"))
-    pairs = m.join(k, "token").select("model", "key").distinct()
+
+    def rarest(own: DataFrame, name: str, others: DataFrame) -> DataFrame:
+        seen = others.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        return own.join(seen, "token", "left").groupBy(name).agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), F.col("token"))).alias("token"))
+
+    pairs = rarest(k, "key", m).join(m, "token").select("model", "key").union(rarest(m, "model", k).join(k, "token").select("model", "key")).distinct()
     a, b = F.lower("model"), F.lower("key")
     fits = pairs.filter(_boundary(a, b) | _boundary(b, a))
     w = Window.partitionBy("model").orderBy(F.length("key").desc(), "key")

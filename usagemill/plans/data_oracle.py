@@ -38,6 +38,25 @@ _TEXT = "CASE json_type(raw, '$.{p}') WHEN 'OBJECT' THEN coalesce(raw->>'$.{p}.i
 _PATHS = ("payload.model", "payload.model_name", "payload.info.model", "message.usage.speed")
 _AT = " UNION ALL ".join(f"SELECT src_file, '{p}' AS path, json_type(raw, '$.{p}') AS t FROM log_lines" for p in _PATHS)
 _VALUES = " UNION ALL ".join(f"SELECT src_file, '{p}' AS path, json_type(raw, '$.{p}') AS t, raw->>'$.{p}' AS v FROM log_lines" for p in _PATHS)
+_STRING = r'"([^"\\\x00-\x1f]|\\(["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_SKELETON = r"^[ \t\n\r]*\{.*\}[ \t\n\r]*$"
+
+
+def _strict(text: str) -> str:
+    """Whether text is one object of strict JSON: the engine's reader is lax about commas, NaN and numbers, so what is left without strings is looked at too."""
+    bare = f"regexp_replace({text}, '{_STRING}', '#', 'g')"
+    words = f"regexp_replace(regexp_replace({bare}, '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?', '#', 'g'), 'true|false|null', '#', 'g')"
+    return f"(coalesce(json_valid({text}), false) AND regexp_full_match({words}, '[][{{}}:,# \t\n\r]*') AND NOT regexp_matches({words}, ',[ \t\n\r]*[]}}]|##|# +#') AND coalesce(json_type(CASE WHEN json_valid({text}) THEN {text} END) = 'OBJECT', false))"
+
+
+_CELL = r"""(?:"((?:[^"]|"")*)"|([^",]*))"""
+_PARSED = f"""
+WITH base AS (SELECT record_id, layout, raw, layout = 'cline_csv' AND regexp_full_match(raw, '(?s){_CELL}(,{_CELL})*') AS quoted, {_strict("raw")} AS sound FROM raw_records),
+cells AS (SELECT *, CASE WHEN sound THEN raw END AS good, CASE WHEN quoted THEN regexp_extract_all(raw || ',', '(?s)((?:"(?:[^"]|"")*"|[^",]*)),', 1) END AS f FROM base),
+fields AS (SELECT *, len(f) AS n, list_transform(f, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS g FROM cells),
+taken AS (SELECT *, CASE WHEN layout = 'cline_csv' THEN g[7] ELSE good->>'$.session.metrics.inputTokens' END AS tokens, CASE WHEN layout = 'cline_csv' THEN g[12] END AS meta, json_type(good, '$.session.metrics.inputTokens') AS kind FROM fields),
+judged AS (SELECT *, (layout = 'cline_csv' OR coalesce(kind IN ('VARCHAR', 'UBIGINT', 'BIGINT'), false)) AND regexp_full_match(trim(tokens), '[0-9]+') AND try_cast(trim(tokens) AS HUGEINT) <= 9223372036854775807 AS whole, {_strict("meta")} AS meta_sound FROM taken)
+"""
 
 ORACLE = {
     "p1_found": _NODES + """, below AS (
@@ -105,4 +124,7 @@ best AS (SELECT src_file, o, n, s FROM one UNION ALL SELECT src_file, o, n, s FR
 SELECT src_file, o AS old_path, n AS new_path, round(s, 6) AS score FROM best WHERE s >= 0.5""",
     "p6_unified": f"""
 SELECT line_id, stream, src_file, line_no, coalesce({", ".join(_TEXT.format(p=p) for p in ("payload.model", "message.model", "payload.model_name", "payload.info.model"))}) AS model, {_TEXT.format(p="message.usage.speed")} AS speed FROM log_lines""",
+    "p2_found": _PARSED + """
+SELECT record_id, CASE WHEN layout <> 'cline_csv' AND NOT sound THEN 'bad_json' WHEN layout = 'cline_csv' AND NOT quoted THEN 'bad_quoting' WHEN layout = 'cline_csv' AND n <> 12 THEN 'column_count' ELSE 'invalid_value' END AS reason FROM judged
+WHERE CASE layout WHEN 'cline_csv' THEN NOT coalesce(quoted AND n = 12 AND whole AND (meta = '' OR meta_sound), false) WHEN 'codex_jsonl' THEN NOT (sound AND coalesce(json_type(good, '$.payload.metadata') IN ('NULL', 'OBJECT'), true)) ELSE NOT coalesce(sound AND whole, false) END""",
 }

@@ -250,3 +250,11 @@ def _hermes(df):
 @trial("zcode")
 def _zcode(df):
     return databases(df, "model_usage", {"id": ident("z"), "session_id": c("dir"), "started_at": c("at"), "model_id": c("model"), "input_tokens": c("i") + c("c") + c("r"), "output_tokens": c("o"), "cache_read_tokens": c("r"), "cache_creation_tokens": c("c"), "computed_total_tokens": c("i") + c("c") + c("r") + c("o"), "status": lit("completed")})
+
+
+@trial("droid", f"""WITH {USAGE_SQL}, rows AS (SELECT *, seq % {SESSIONS} AS f FROM usage WHERE model IS NOT NULL)
+SELECT 's' || f AS session_id, arg_min(model, seq) AS model, 1::BIGINT AS entries, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(c)::BIGINT AS cache_creation_tokens, sum(r)::BIGINT AS cache_read_tokens, min(ts_ms) AS first_ms, min(ts_ms) AS last_ms FROM rows GROUP BY f HAVING sum(total) > 0""")
+def _droid(df):
+    """A session's sums, dated by its first message."""
+    use = F.struct(F.sum("i").alias("inputTokens"), F.sum("o").alias("outputTokens"), F.sum("c").alias("cacheCreationTokens"), F.sum("r").alias("cacheReadTokens"))
+    return documents(df, F.struct(F.min_by("model", "seq").alias("model"), F.min("at").alias("providerLockTimestamp"), use.alias("tokenUsage")), "{}.settings.json")

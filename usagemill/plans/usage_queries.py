@@ -339,18 +339,18 @@ def last_n_periods(s, d):
     return u.filter(dates.in_dates(F.col("date"), since, None)).groupBy(dates.week_start(F.col("date")).alias("week")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT CASE WHEN version IS NOT NULL AND NOT regexp_matches(version, '^[0-9]+[.][0-9]+[.][0-9]+') THEN 'version' WHEN trim(coalesce(sessionId, 'x')) = '' THEN 'session' WHEN trim(coalesce(requestId, 'x')) = '' THEN 'request' WHEN trim(coalesce(message.id, 'x')) = '' THEN 'message' WHEN trim(coalesce(message.model, 'x')) = '' THEN 'model' ELSE 'valid' END AS verdict, count(*) AS rows FROM claude_usage GROUP BY 1""")
+@query("""SELECT CASE WHEN (version IS NULL OR regexp_matches(version, '^[0-9]+[.][0-9]+[.][0-9]+')) AND coalesce(trim(sessionId) <> '', true) AND coalesce(trim(requestId) <> '', true) AND coalesce(trim(message.id) <> '', true) AND coalesce(trim(message.model) <> '', true) THEN 'valid' ELSE 'left out' END AS verdict, count(*) AS rows FROM claude_usage GROUP BY 1""")
 def row_validity(s, d):
-    empty = lambda c: F.trim(F.coalesce(c, F.lit("x"))) == ""
-    verdict = F.when(F.col("version").isNotNull() & ~F.col("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+"), "version")
-    for name, c in (("session", "sessionId"), ("request", "requestId"), ("message", "message.id"), ("model", "message.model")):
-        verdict = verdict.when(empty(F.col(c)), name)
-    return table(s, d, "claude_usage").groupBy(verdict.otherwise("valid").alias("verdict")).agg(F.count(F.lit(1)).alias("rows"))
+    from usagemill.sources.agents import valid_line
+
+    return table(s, d, "claude_usage").groupBy(F.when(valid_line(), "valid").otherwise("left out").alias("verdict")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(f"WITH {USAGE_SQL} SELECT count(*) AS rows FROM usage WHERE total > 0 OR coalesce(cost_usd, 0) > 0")
 def drop_zero_usage(s, d):
-    return usage(s, d).filter((total_tokens() > 0) | (F.coalesce("cost_usd", F.lit(0.0)) > 0)).agg(F.count(F.lit(1)).alias("rows"))
+    from usagemill.sources.agents import used
+
+    return used(usage(s, d), cost_only=True).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k, CASE WHEN event_type = '' THEN NULL ELSE trim(event_type) END AS kind FROM events")

@@ -6,6 +6,11 @@
 Each database file is one partition. Columns that a database lacks are null, a
 table that it lacks gives no rows, and comparisons with constants are handed to
 SQLite.
+
+SQLite reads through a file system, so the path must be one that the driver and
+the executors have mounted; any other scheme than file is refused, and so is a
+path that isn't there. A file that is no database at all gives no rows. One that
+breaks off while it is read is an error: its rows so far would pass for all.
 """
 
 from __future__ import annotations
@@ -47,7 +52,12 @@ class SqliteReader(DataSourceReader):
             yield f  # Spark checks again, as SQLite's types are looser
 
     def partitions(self) -> list[DatabaseFile]:
+        scheme, _, rest = self.path.partition("://")
+        if rest and scheme != "file":
+            raise ValueError(f"SQLite can't read {self.path}: mount it, and give its path there")
         path = self.path.removeprefix("file://")
+        if not glob.glob(path) and not os.path.exists(path):
+            raise FileNotFoundError(self.path)
         found = [os.path.join(root, n) for root, _, names in os.walk(path) for n in names if n.endswith((".db", ".sqlite"))] if os.path.isdir(path) else glob.glob(path)
         return [DatabaseFile(p) for p in sorted(found)] or [DatabaseFile("")]
 
@@ -56,7 +66,10 @@ class SqliteReader(DataSourceReader):
             return
         con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
         try:
-            there = {r[1] for r in con.execute(f"PRAGMA table_info({quoted(self.table)})")}
+            try:
+                there = {r[1] for r in con.execute(f"PRAGMA table_info({quoted(self.table)})")}
+            except sqlite3.DatabaseError:
+                return  # not a database: like a file that doesn't parse
             if not there:
                 return
             names = [f.name for f in self.schema.fields]
@@ -72,8 +85,8 @@ class SqliteReader(DataSourceReader):
             casts = [_CASTS.get(kinds[n], lambda x: x) for n in names]
             for row in con.execute(sql, values):
                 yield tuple(None if x is None else c(x) for c, x in zip(casts, row))
-        except sqlite3.DatabaseError:
-            return  # not a database, or torn: like a file that doesn't parse
+        except sqlite3.DatabaseError as e:
+            raise RuntimeError(f"{partition.path} broke off while {self.table} was read: {e}") from e
         finally:
             con.close()
 
