@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagemill.operators.delivery import filled
-from usagemill.session import Manifest, cut, cut_counted, delete_path, fresh_path
+from usagemill.session import Manifest, cut_counted, delete_path, fresh_path
 
 DEFAULT_GAP_MS = 5 * 3_600_000
 BUCKETS = 64
