@@ -2,8 +2,10 @@ import itertools
 import json
 import random
 
-from usagemill.operators.drift import best_matching, changes, columns_by_links, matches, profiles, renames, unified, unified_by_matches, versions
-from usagemill.plans.data_queries import PATHS, SEEDS, TRACKED
+from pyspark.sql import functions as F
+
+from usagemill.operators.drift import best_matching, changes, columns_by_links, columns_of, matches, narrowed, path_of, profiles, renames, unified, unified_by_matches, versions
+from usagemill.plans.data_queries import PATHS, SEEDS, TRACKED, p6_changes, p6_found
 
 SCHEMA = "line_id bigint, stream string, file_seq int, src_file string, line_no int, raw string, path string"
 
@@ -94,3 +96,59 @@ def test_unified(spark):
 
 def test_empty(spark):
     assert run(spark, {}) == []
+
+
+def whole(spark, files, **kw):
+    got = changes(lines(spark, files), "stream", "file_seq", "src_file", "raw", None, **{"min_score": 0.5, "sole": False} | kw).collect()
+    return sorted((r.src_file, r.change, r.old_path, r.new_path) for r in got)
+
+
+def _objects(n, make):
+    return [json.dumps(make(i)) for i in range(n)]
+
+
+WIDE = {
+    ("w", 1): _objects(9, lambda i: {"at": i, "payload": {"model": {"id": f"m{i}", "by": f"b{i % 3}"}, "usage": {"input_tokens": 100 + i}}}),
+    ("w", 3): _objects(9, lambda i: {"at": i, "payload": {"info": {"model": {"id": f"m{i}", "by": f"b{i % 3}"}}, "usage": {"inputTokens": 100 + i}, "text": True}}),
+    ("w", 4): _objects(9, lambda i: {"at": str(i), "payload": {"info": {"model": {"id": f"m{i}", "by": f"b{i % 3}"}}, "usage": {"inputTokens": 100 + i}, "text": True}}),
+}
+
+
+def test_every_column_is_matched(spark, tmp_path):
+    pairs = [("payload.model", "payload.info.model"), ("payload.model.id", "payload.info.model.id"), ("payload.model.by", "payload.info.model.by"), ("payload.usage.input_tokens", "payload.usage.inputTokens")]
+    want = sorted([("w/3", "renamed", a, b) for a, b in pairs] + [("w/3", "added", "", "payload.info"), ("w/3", "added", "", "payload.text"), ("w/4", "retyped", "at", "at")])
+    assert whole(spark, WIDE) == want
+    lines(spark, WIDE).write.parquet(f"{tmp_path}/log_lines.parquet")
+    assert sorted((r.src_file, r.change, r.old_path, r.new_path) for r in p6_changes(spark, str(tmp_path)).collect()) == want
+    assert [tuple(r) for r in p6_found(spark, str(tmp_path)).collect()] == [("w/3", "renamed", "payload.model", "payload.info.model")]
+
+
+def test_tracked_part_of_the_whole_report(spark):
+    rng = random.Random(3)
+    values = [1, "x", "y", True, [2], {"id": "q"}, {"id": 7, "mode": {"model": "z"}}, None]
+    pick = lambda: {k: rng.choice(values) for k in ("model", "model_name", "other") if rng.random() < 0.5} | ({"info": rng.choice([{"model": rng.choice(values)}, 3, [{"model": 1}]])} if rng.random() < 0.6 else {})
+    files = {("r", n): _objects(2, lambda i: {"payload": pick(), "message": {"usage": {"speed": rng.choice(values)}}}) for n in range(60)}
+    for some in (FILES | WIDE, files, {}):
+        df = lines(spark, some)
+        report = changes(df, "stream", "file_seq", "src_file", "raw", None, min_score=0.5, sole=False)
+        assert sorted(tuple(r) for r in narrowed(report, TRACKED).collect()) == run(spark, some)
+
+
+def test_odd_keys_are_columns_of_their_own(spark):
+    odd = {"a.b": 1, "a": {"b": 2, "": {}}, "c d": {"e": None, "`x`": [1, {"y": 2}], "it's \"q\"": 1.5}, "n,:<>": {"ä\n\\": "t"}, "OBJECT": False}
+    shape = spark.range(1).select(F.schema_of_variant(F.parse_json(F.lit(json.dumps(odd))))).first()[0]
+    got = dict(zip(*columns_of(shape)))
+    want = {("a.b",): "number", ("a",): "object", ("a", "b"): "number", ("a", ""): "object", ("c d",): "object", ("c d", "`x`"): "array", ("c d", "it's \"q\""): "number", ("n,:<>",): "object", ("n,:<>", "ä\n\\"): "string", ("OBJECT",): "boolean"}
+    assert got == {path_of(k): t for k, t in want.items()} and len(got) == 10
+    keys = ["a.b", "it's \"q\"", "", "`x`", "ä\n\\", "[0]", "$"]
+    files = {("k", 1): _objects(8, lambda i: {"in": {k: f"{k}{i}" for k in keys}}), ("k", 2): _objects(8, lambda i: {"in": {k + "2": f"{k}{i}" for k in keys}})}
+    assert whole(spark, files) == sorted(("k/2", "renamed", path_of(["in", k]), path_of(["in", k + "2"])) for k in keys)
+
+
+def test_a_file_of_many_columns(spark):
+    n, deep = 150, "1"
+    old, new = _objects(4, lambda i: {f"old{k}": f"{k}-{i}" for k in range(n)}), _objects(4, lambda i: {f"x_{k * 7 % n}": f"{k * 7 % n}-{i}" for k in range(n)})
+    for _ in range(400):
+        deep = f'{{"d":{deep}}}'
+    want = [("m/2", "renamed", f"old{k}", f"x_{k}") for k in range(n)] + [("m/3", "added", "", ".".join("d" * (k + 1))) for k in range(400)]
+    assert whole(spark, {("m", 1): old, ("m", 2): new, ("m", 3): [*new, deep]}) == sorted(want)

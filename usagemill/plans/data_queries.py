@@ -115,7 +115,13 @@ def p4_formats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.changes(table(spark, folder, "log_lines"), "stream", "file_seq", "src_file", "raw", TRACKED)
+    """The changes of the tracked paths, from the report of all columns."""
+    return drift.narrowed(p6_changes(spark, folder), TRACKED)
+
+
+def p6_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of every column, renames by the matching of all that went with all that came."""
+    return drift.changes(table(spark, folder, "log_lines"), "stream", "file_seq", "src_file", "raw", None, drift.MIN_SCORE, sole=False)
 
 
 def p6_renames(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,5 +136,5 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_cycles, p1_trees, p2_found, p2_loaded, p3_found, p4_found, p4_formats, p5_found, p5_ranges, p5_by_batch, p6_found, p6_renames, p6_unified)
+    f.__name__: f for f in (p1_found, p1_cycles, p1_trees, p2_found, p2_loaded, p3_found, p4_found, p4_formats, p5_found, p5_ranges, p5_by_batch, p6_found, p6_changes, p6_renames, p6_unified)
 }
